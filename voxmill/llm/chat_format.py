@@ -37,36 +37,35 @@ def unescape(text: Column, pairs=ESCAPES) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[1]), F.lit(p[0])), pairs[::-1], text)
 
 
-def same(a: DataFrame, b: DataFrame, left: str, right: str) -> Column:
-    return a["tree"].eqNullSafe(b["tree"]) & (a[left] == b[right])
-
-
-def jump_tables(nodes: DataFrame) -> list[DataFrame]:
-    """From tree, id, parent, score: tables of tree, id, up (2**k steps up, or null), depth and total of the steps below it."""
+def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """From tree, id, parent, score: for each k the nodes that have an ancestor 2**k steps up (tree, id, up), and for
+    each node below a root its depth (messages on its path) and the total score of the path. A node leaves the rounds
+    when it has seen its root, so only the deep ones are joined again."""
     ids = nodes.select(F.col("tree").alias("t"), F.col("id").alias("i"))
     at = nodes.join(ids, nodes["tree"].eqNullSafe(ids["t"]) & (nodes["parent"] == ids["i"]), "left")
-    tables = [cut(at.select("tree", "id", F.col("i").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))]
-    left = tables[0].where("up is not null").count()
-    while left and 2 ** (len(tables) - 1) <= left:  # longer than all messages: only circles are left
-        a = tables[-1]
-        b = a.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        both = a.join(b, a["tree"].eqNullSafe(b["t"]) & (a["up"] == b["i"]), "left")
-        tables.append(cut(both.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))))
-        left = min(left, tables[-1].where("up is not null").count()) if tables[-1].where("up is not null").limit(1).count() else 0
-    return tables
+    at = cut(at.select("tree", "id", F.col("i").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
+    done, a, tables = at.where("up is null"), at.where("up is not null"), []
+    most = a.count()
+    while a.limit(1).count() and 2 ** len(tables) <= most:  # longer than all messages: only circles are left
+        tables.append(a.select("tree", "id", "up"))
+        b = a.unionByName(done).select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        both = a.join(b, a["tree"].eqNullSafe(b["t"]) & (a["up"] == b["i"]))
+        both = cut(both.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")))
+        done, a = done.unionByName(both.where("up is null")), both.where("up is not null")
+    return tables, done
 
 
 def chosen_paths(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
     """Rows of tree, leaf, rank, pos, id: the messages of the `keep` best branches of each tree (None: of all)."""
-    tables = jump_tables(nodes)
-    top, parents = tables[-1], tables[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
-    leaves = top.where("up is null").join(parents, top["tree"].eqNullSafe(parents["t"]) & (top["id"] == parents["u"]), "left_anti")
+    tables, top = jump_tables(nodes)
+    parents = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("u")).distinct()
+    leaves = top.join(parents, top["tree"].eqNullSafe(parents["t"]) & (top["id"] == parents["u"]), "left_anti")
     leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "id")))
     if keep is not None:
         leaves = leaves.where(F.col("rank") <= keep)
     path = leaves.select("tree", F.col("id").alias("leaf"), "rank", (F.col("depth") - 1).alias("pos"), "id")
-    for k in reversed(range(len(tables) - 1)):
-        jump = tables[k].where("up is not null").select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
+    for k in reversed(range(len(tables))):
+        jump = tables[k].select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
         path = path.join(jump, path["tree"].eqNullSafe(jump["t"]) & (path["id"] == jump["i"]), "left")
         both = F.array(F.struct("pos", "id"), F.struct((F.col("pos") - 2**k).alias("pos"), F.col("up").alias("id")))
         path = path.select("tree", "leaf", "rank", F.explode(F.filter(both, lambda s: s.id.isNotNull())).alias("s")).select("tree", "leaf", "rank", "s.pos", "s.id")
