@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat_format", "embedding_dedup", "line_dedup", "mixing", "sharding", "token_file", "toxicity", "exact_dedup")
+MODULES = ("bpe", "chat_format", "embedding_dedup", "line_dedup", "mixing", "sharding", "token_file", "toxicity", "exact_dedup")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
