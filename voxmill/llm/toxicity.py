@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-WINDOW, STRIDE, MAX_DOCS = 32, 24, 6000
+WINDOW, STRIDE, MAX_DOCS = 32, 24, 4000
 WORD_BITS, CHAR_BITS, DIM, HIDDEN = 15, 17, 4, 8
 SCALE = 0x9E3779B97F4A7C15
 #: Code points per piece when texts are scored, and windows per pass of the network.
@@ -213,13 +213,21 @@ def window_logits(net: Net, words: Words) -> tuple[np.ndarray, np.ndarray, np.nd
     return text, first, out
 
 
-def log_odds(hashes: np.ndarray, text: np.ndarray, toxic: np.ndarray, bits: int) -> np.ndarray:
-    """Smoothed log-odds of a label given that a hash occurs in the text, shrunk where it is rare."""
-    key = np.unique(text.astype(np.int64) << bits | hashes)
-    t, k = key >> bits, key & ((1 << bits) - 1)
-    p, n = np.bincount(k[toxic[t]], minlength=1 << bits), np.bincount(k[~toxic[t]], minlength=1 << bits)
-    odds = np.log((p + 0.5) / (toxic.sum() + 1)) - np.log((n + 0.5) / ((~toxic).sum() + 1))
-    return (odds * (p + n) / (p + n + 8.0)).astype(np.float32)
+def log_odds(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log-odds of the label given that a text holds a word hash or a character hash, shrunk where it is rare."""
+    counts = {bits: np.zeros((2, 1 << bits), np.int64) for bits in (WORD_BITS, CHAR_BITS)}
+    ends = np.cumsum(words.count)
+    for t, (end, n) in enumerate(zip(ends.tolist(), words.count.tolist(), strict=True)):
+        own = np.unique(words.form[end - n : end])
+        size = words.char_size[own]
+        chars = words.chars[np.repeat(words.char_start[own], size) + _runs(size)]
+        counts[WORD_BITS][int(toxic[t]), np.unique(words.word[own])] += 1
+        counts[CHAR_BITS][int(toxic[t]), np.unique(chars)] += 1
+    out = []
+    for n, p in counts.values():
+        odds = np.log((p + 0.5) / (toxic.sum() + 1)) - np.log((n + 0.5) / ((~toxic).sum() + 1))
+        out.append((odds * (p + n) / (p + n + 8.0)).astype(np.float32))
+    return out[0], out[1]
 
 
 def train(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 5) -> Net | None:
@@ -228,8 +236,9 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0
     if not toxic.any() or toxic.all():
         return None
     net, words, r = Net(), Words(texts), np.random.default_rng(seed)
-    for name, hashes, owner, bits in (("word", words.word[words.form], words.text_of_word, WORD_BITS), ("char", words.chars[np.repeat(words.char_start[words.form], words.char_size[words.form]) + _runs(words.char_size[words.form])], np.repeat(words.text_of_word, words.char_size[words.form]), CHAR_BITS)):
-        net.w[name][:, 0] += log_odds(hashes, owner, toxic, bits) * (0.5 if name == "word" else 1.0)
+    of_words, of_chars = log_odds(words, toxic)
+    net.w["word"][:, 0] += of_words * 0.5
+    net.w["char"][:, 0] += of_chars
     mean, square = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     step, batch = 0, int(np.clip(len(texts) // 24, 16, 192))
     for epoch in range(epochs):
@@ -327,12 +336,12 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     """The rows of docs that score below the threshold, with their columns."""
     net = fit(docs, labels, max_docs)
     src = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    out = src.schema["row"].dataType
+    out, names = src.schema["row"].dataType, list(docs.columns)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = pa.array(score_texts(net, b.column("_text").to_pylist()) < threshold)
-            yield pa.RecordBatch.from_arrays(b.column("row").filter(keep).flatten(), names=docs.columns)
+            yield pa.RecordBatch.from_arrays(b.column("row").filter(keep).flatten(), names=names)
 
     return src.mapInArrow(go, out)
 
