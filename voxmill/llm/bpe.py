@@ -250,10 +250,11 @@ def decode_ids(ids: Column, path: str | None = None) -> Column:
     return vocabulary(path).decode(ids)
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+def digests(encoded: DataFrame, path: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256; more: "ids" or columns of the documents."""
     v = vocabulary(path)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(v.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(v.decode(F.col("ids")), 256).alias("decoded_sha256"), *(F.col(c if c == "ids" else f"row.{c}").alias(c) for c in more))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
