@@ -24,16 +24,14 @@ import json
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
 from .common import cut, documents, text_of
 
-DICTIONARY, BUCKETS, LONG = 600_000, 1 << 16, 96
+DICTIONARY, SLOTS, LONG = 900_000, 1 << 20, 96
 NO_RANK = 1 << 17
-#: Between the words and ids of the dictionary: noncharacters; texts that hold one are folded without the dictionary.
-S1, S2 = "\U0010fffe", "\U0010ffff"
 
 
 def rank_path() -> str:
@@ -75,14 +73,14 @@ def literal(values: list, element: str) -> Column:
     """A constant array as one literal in Spark's compact binary form, which all places of a plan share: a from_json() of
     a string would be parsed, boxed and printed in each place."""
     spark = SparkSession.getActiveSession()
-    return only_value(spark.range(0, 1, 1, 1).select(F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), f"array<{element}>").alias("x")))
+    return only_values(spark.range(0, 1, 1, 1).select(F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), f"array<{element}>").alias("x")))[0]
 
 
-def only_value(made: DataFrame) -> Column:
-    """The array in the only row and column of a small table, as such a literal."""
-    jvm, kind = made.sparkSession.sparkContext._jvm, made._jdf.schema().apply(0).dataType()
-    value = made._jdf.queryExecution().executedPlan().executeCollect()[0].getArray(0).copy()
-    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, kind)))
+def only_values(made: DataFrame) -> list[Column]:
+    """The arrays in the only row of a small table, as such literals."""
+    jvm, row = made.sparkSession.sparkContext._jvm, made._jdf.queryExecution().executedPlan().executeCollect()[0]
+    lit = jvm.org.apache.spark.sql.catalyst.expressions.Literal
+    return [ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(lit(row.getArray(k).copy(), made._jdf.schema().apply(k).dataType()))) for k in range(len(made.columns))]
 
 
 def bind(value: Column, use) -> Column:
@@ -109,7 +107,7 @@ class Vocabulary:
         self._table(pairs)
         self.byte_ids = literal([ranks[bytes([i])] for i in range(256)], "int")
         self.chars = literal([id_char(i) for i in range(size)], "string")
-        self.hexes = literal([self.by_id.get(i, b"").hex() for i in range(size)], "string")
+        self.pieces = literal([self.by_id.get(i, b"").decode("latin-1") for i in range(size)], "string")
 
     def _table(self, pairs: dict[tuple[int, int], int]) -> None:
         """Sparse rows laid over each other: pair (a, b) is at shift[a] + b, and owner says whose place that is."""
@@ -140,30 +138,28 @@ class Vocabulary:
         return F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(self.byte_ids, F.ascii(c)).cast("long"))
 
     def fold_short(self, word: Column) -> Column:
-        """Ids of a word as characters, one merge a step."""
+        """Ids of a word, as decimals joined by spaces; one merge a step."""
         none, low = F.lit(NO_RANK << 17).cast("long"), (1 << 17) - 1
-        tail = lambda x: F.shiftleft(F.lit(NO_RANK).cast("long"), 17).bitwiseOR(x)
 
         def step(own: Column) -> Column:
-            def after_min(best: Column) -> Column:
-                def merge(p: Column) -> Column:
-                    new = F.shiftright(best, 17)
-                    left = F.when(p > 1, F.concat(F.slice(own, F.lit(1), p - 2), F.array(self.packed(F.get(own, p - 2).bitwiseAND(low), new)))).otherwise(F.array().cast("array<bigint>"))
-                    right = F.when(p + 1 < F.size(own), F.concat(F.array(self.packed(new, F.get(own, p + 1).bitwiseAND(low))), F.slice(own, p + 2, F.size(own)))).otherwise(F.array(tail(new)))
-                    return F.concat(left, right)
+            def merge(best: Column) -> Column:
+                new = F.shiftright(best, 17)
 
-                return F.when(best >= none, own).otherwise(bind(F.array_position(own, best).cast("int"), merge))
+                def at(p: Column) -> Column:  # p: place of the left id, from 0
+                    after = F.get(own, p + 2).bitwiseAND(low)
+                    rest = F.filter(own, lambda x, i: i != p + 1)
+                    return F.transform(rest, lambda x, i: F.when(i == p, self.packed(new, after)).when(i == p - 1, self.packed(x.bitwiseAND(low), new)).otherwise(x))
 
-            return bind(F.array_min(own), after_min)
+                return F.when(best >= none, own).otherwise(bind((F.array_position(own, best) - 1).cast("int"), at))
 
-        def begin(x: Column) -> Column:
-            return F.concat(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x)), self.packed), F.array(tail(F.element_at(x, -1))))
+            return bind(F.array_min(own), merge)
 
-        merged = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), bind(self.start(word), begin), lambda a, _: step(a))
-        return F.array_join(F.transform(merged, lambda e: F.get(self.chars, e.bitwiseAND(low))), "")
+        begin = bind(self.start(word), lambda x: F.transform(x, lambda e, i: self.packed(e, F.get(x, i + 1))))
+        merged = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), begin, lambda a, _: step(a))
+        return F.array_join(F.transform(merged, lambda e: e.bitwiseAND(low).cast("string")), " ")
 
     def fold_long(self, word: Column) -> Column:
-        """Ids of a word as characters, all occurrences of a pair a step."""
+        """The same by a string of a character per id, all occurrences of a pair a step."""
 
         def best(ids: Column) -> Column:
             pairs = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.struct(self.rank(a, b).alias("new"), a.alias("a"), b.alias("b")))
@@ -179,19 +175,14 @@ class Vocabulary:
         def begin(x: Column) -> Column:
             return F.struct(F.array_join(F.transform(x, char), "").alias("s"), best(x).alias("p"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), bind(self.start(word), begin), lambda a, _: step(a), lambda a: a.s)
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), bind(self.start(word), begin), lambda a, _: step(a), lambda a: F.array_join(F.transform(ids_of(a.s), lambda i: i.cast("string")), " "))
 
     def fold(self, word: Column) -> Column:
         return F.when(F.octet_length(word) <= LONG, self.fold_short(word)).otherwise(self.fold_long(word))
 
-    def ids(self, chars: Column) -> Column:
-        """array<int> of a string of characters for ids."""
-        points = F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), F.ascii)
-        return F.transform(points, lambda p: F.when(p < 0xD800, p - 0x100).otherwise(p - 0x900).cast("int"))
-
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids; an id that the vocabulary lacks has none."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hexes, i)), ""))
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
 
 
 @lru_cache(2)
@@ -210,40 +201,48 @@ def pieces(text: Column, regex: str | None = None) -> Column:
 
 
 def common_words(docs: DataFrame, most: int, text_col: str = "text", regex: str | None = None) -> DataFrame:
-    """At most `most` of the commonest words of all texts, by a cut in eighths of powers of two of their counts."""
+    """word, n: at most `most` of the commonest words of all texts, by a cut in eighths of powers of two of their counts."""
     words = docs.select(F.explode(pieces(text_of(text_col), regex)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = cut(words.withColumn("level", F.floor(8 * F.log2("n")).cast("int")))
-    levels = sorted(((r.level, r["count"]) for r in words.where((F.octet_length("word") <= LONG) & ~F.contains("word", F.lit(S1)) & ~F.contains("word", F.lit(S2))).groupBy("level").count().collect()), reverse=True)
+    words = cut(words.where(F.octet_length("word") <= LONG).withColumn("level", F.floor(8 * F.log2("n")).cast("int")))
+    levels = sorted(((r.level, r["count"]) for r in words.groupBy("level").count().collect()), reverse=True)
     total, least = 0, None
     for level, n in levels:
         if total + n > most:
             break
         total, least = total + n, level
-    keep = (F.octet_length("word") <= LONG) & ~F.contains("word", F.lit(S1)) & ~F.contains("word", F.lit(S2))
-    return words.where(keep & (F.col("level") >= (least if least is not None else 1 << 30))).select("word")
+    return words.where(F.col("level") >= (least if least is not None else 1 << 30)).select("word", "n")
+
+
+def slot(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(SLOTS - 1).cast("int")
 
 
-def bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(BUCKETS - 1).cast("int")
+def dictionary_of(words: DataFrame, v: Vocabulary) -> list[tuple[Column, Column]]:
+    """Two literal tables of words and their ids by slot; of words that share a slot the commonest two are in."""
+    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_slot = Window.partitionBy("slot").orderBy(F.desc("n"), "word")
+    words = words.withColumn("slot", slot(F.col("word"))).withColumn("k", F.row_number().over(by_slot)).where("k <= 2")
+    words = words.withColumn("ids", v.fold(F.col("word")))
+    first = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    cells = words.groupBy("slot").agg(*(first(k, c).alias(f"{c}{k}") for k in (1, 2) for c in ("word", "ids")))
+    every = words.sparkSession.range(SLOTS).join(cells, F.col("id") == F.col("slot"), "left")
+    sorted_ = every.agg(F.array_sort(F.collect_list(F.struct("id", "word1", "ids1", "word2", "ids2"))).alias("x"))
+    one = sorted_.select(*(F.transform("x", lambda r: r[c]).alias(c) for c in ("word1", "ids1", "word2", "ids2")))  # noqa: B023
+    made = only_values(one)
+    return [(made[0], made[1]), (made[2], made[3])]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, regex: str | None = None, dictionary: int = DICTIONARY, text_col: str = "text") -> DataFrame:
-    """Columns row (all of docs, as a struct) and ids (array<int>)."""
+    """Columns row (all of docs, as a struct), ids (array<int>) and ids_text (the same as decimals joined by spaces)."""
     v, text = vocabulary(path), text_of(text_col)
-    words = common_words(docs, dictionary, text_col, regex).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    entries = words.select(bucket(F.col("word")).alias("b"), F.concat("word", F.lit(S2), v.fold(F.col("word")), F.lit(S1)).alias("entry"))
-    table = entries.groupBy("b").agg(F.concat(F.lit(S1), F.array_join(F.collect_list("entry"), "")).alias("entries"))
-    every = docs.sparkSession.range(BUCKETS).join(table, F.col("id") == F.col("b"), "left").select("id", F.coalesce("entries", F.lit("")).alias("entries"))
-    known = only_value(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "entries"))), lambda x: x.entries).alias("x")))
+    (w1, e1), (w2, e2) = dictionary_of(common_words(docs, dictionary, text_col, regex), v)
 
     def encoded(word: Column) -> Column:
-        found = F.call_function("substring_index", F.call_function("substring_index", F.get(known, bucket(word)), F.concat(F.lit(S1), word, F.lit(S2)), F.lit(-1)), F.lit(S1), F.lit(1))
-        return bind(found, lambda x: F.when(x == "", v.fold(word)).otherwise(x))
+        return bind(slot(word), lambda s: F.when(F.get(w1, s) == word, F.get(e1, s)).when(F.get(w2, s) == word, F.get(e2, s)).otherwise(v.fold(word)))
 
-    src = docs.select(F.struct("*").alias("row"), text.alias("text"))
-    clean = ~F.contains("text", F.lit(S1)) & ~F.contains("text", F.lit(S2))
-    of_words = F.when(clean, F.transform(pieces(F.col("text"), regex), encoded)).otherwise(F.transform(pieces(F.col("text"), regex), v.fold))
-    return src.select("row", F.array_join(of_words, "").alias("chars")).select("row", v.ids(F.col("chars")).alias("ids"))
+    out = docs.select(F.struct("*").alias("row"), F.array_join(F.transform(pieces(text, regex), encoded), " ").alias("ids_text"))
+    ids = F.when(F.col("ids_text") == "", F.array().cast("array<int>")).otherwise(F.transform(F.split("ids_text", " "), lambda x: x.cast("int")))
+    return out.select("row", ids.alias("ids"), "ids_text")
 
 
 def decode_ids(ids: Column, path: str | None = None) -> Column:
@@ -253,8 +252,7 @@ def decode_ids(ids: Column, path: str | None = None) -> Column:
 def digests(encoded: DataFrame, path: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256; more: "ids" or columns of the documents."""
     v = vocabulary(path)
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(v.decode(F.col("ids")), 256).alias("decoded_sha256"), *(F.col(c if c == "ids" else f"row.{c}").alias(c) for c in more))
+    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2(v.decode(F.col("ids")), 256).alias("decoded_sha256"), *(F.col(c if c == "ids" else f"row.{c}").alias(c) for c in more))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
