@@ -15,6 +15,11 @@ MIN_SEGMENT, WINDOW_SECONDS, OVERLAP_SECONDS = 0.25, 30.0, 1.0
 NOISE_DB, MIN_SILENCE = -30.0, 0.5
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def interval(start: Column, end: Column) -> Column:
     return F.struct(start.cast("double").alias("start"), end.cast("double").alias("end"))
 
@@ -59,24 +64,33 @@ def silent_runs(rows: DataFrame, frame: str, samples: str, below: float, least:
     """Runs of at least `least` samples with an absolute value under `below`: (frame, start_pos, end_pos), the end
     exclusive. The run ends are found in the array itself: no shuffle."""
     x = F.col(samples)
-    quiet = F.transform(x, lambda v: F.coalesce(F.abs(v) < below, F.lit(False)))
-    n = F.size(x)
-    rows = rows.select(frame, quiet.alias("q"), n.alias("n"))
-    q = F.col("q")
-    starts = F.filter(F.transform(q, lambda v, i: F.when(v & ~F.coalesce(F.get(q, i - 1), F.lit(False)), i)), lambda i: i.isNotNull())
-    ends = F.filter(F.transform(q, lambda v, i: F.when(v & ~F.coalesce(F.get(q, i + 1), F.lit(False)), i + 1)), lambda i: i.isNotNull())
-    runs = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start_pos"), b.alias("end_pos"))), lambda s: s.end_pos - s.start_pos >= least)
-    return rows.select(frame, F.explode(runs).alias("s")).select(frame, "s.start_pos", "s.end_pos")
+    rows = rows.select(frame, F.transform(x, lambda v: F.coalesce(F.abs(v) < below, F.lit(False))).alias("q"))
+
+    def runs_of(q: Column) -> Column:
+        starts = F.filter(F.transform(q, lambda v, i: F.when(v & ~F.coalesce(F.get(q, i - 1), F.lit(False)), i)), lambda i: i.isNotNull())
+        ends = F.filter(F.transform(q, lambda v, i: F.when(v & ~F.coalesce(F.get(q, i + 1), F.lit(False)), i + 1)), lambda i: i.isNotNull())
+        return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start_pos"), b.alias("end_pos"))), lambda s: s.end_pos - s.start_pos >= least)
+
+    return rows.select(frame, F.explode(bind(F.col("q"), runs_of)).alias("s")).select(frame, "s.start_pos", "s.end_pos")
 
 
 def silences_from_samples(samples: Column, rate: int, noise_db: float = NOISE_DB, seconds: float = MIN_SILENCE, full_scale: float = 32768.0) -> Column:
-    """Silences, in seconds, of an array of PCM samples: quieter than noise_db for at least `seconds`. One pass: the
-    fold keeps the start of the open run and the runs found."""
+    """Silences, in seconds, of an array of PCM samples: quieter than noise_db for at least `seconds`. Runs lie
+    between the places where loud and quiet change."""
     limit, least = full_scale * 10 ** (noise_db / 20), max(1, round(seconds * rate))
     quiet = F.transform(samples, lambda v: F.abs(v.cast("double")) < limit)
-    edges = F.filter(F.transform(F.zip_with(F.concat(F.array(F.lit(False)), quiet), F.concat(quiet, F.array(F.lit(False))), lambda a, b: a != b), lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(edges) / 2 - 1, F.lit(0)).cast("int")), lambda k: F.struct(F.get(edges, k * 2).alias("a"), F.get(edges, k * 2 + 1).alias("b")))
-    return F.transform(F.filter(pairs, lambda p: p.b - p.a >= least), lambda p: interval(p.a / rate, p.b / rate))
+    none = F.array(F.lit(False))
+
+    def edges_of(q: Column) -> Column:
+        changed = F.zip_with(F.concat(none, q), F.concat(q, none), lambda a, b: a != b)
+        return F.filter(F.transform(changed, lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
+
+    def runs_of(e: Column) -> Column:
+        count = (F.size(e) / 2).cast("int")
+        every = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: F.struct(F.get(e, k * 2).alias("a"), F.get(e, k * 2 + 1).alias("b")))
+        return F.transform(F.filter(every, lambda p: p.b - p.a >= least), lambda p: interval(p.a / rate, p.b / rate))
+
+    return bind(bind(quiet, edges_of), runs_of)
 
 
 def silences_from_log(log: Column) -> Column:

@@ -65,9 +65,11 @@ class Preprocess:
         probed = probe(jobs, self.prober)
         return probed.withColumn("valid", is_valid_media(F.col("size"), F.col("streams"), F.col("duration")))
 
-    def run(self, jobs: DataFrame, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
-        """Chunks with their audio, and a stage result per job; refused jobs fail, the others go on."""
+    def run(self, jobs: DataFrame, config: Config | None = None, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Chunks with their audio, and a stage result per job; refused jobs fail, the others go on. expected: job_id of
+        all jobs, so that those without a file (or with an empty one, which Spark doesn't list) fail, too."""
         config = config or Config()
+        jobs = jobs if expected is None else expected.select("job_id").distinct().join(jobs, "job_id", "left")
         valid, refused = split_valid(probe(jobs, self.prober))
         rate = config.audio_sample_rate
         audio = convert_audio(valid, rate, config.audio_channels)
