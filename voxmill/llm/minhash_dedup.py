@@ -38,7 +38,7 @@ from .components import components
 from .shingles import factors_of, set_hashes, shingle_sets, signature
 
 PERCENT, WORDS = 85, 5
-TREES, COORDS, LEAF, BLOCK_DOCS, BLOCK_SHINGLES = 8, 64, 32, 2048, 4_000_000
+TREES, COORDS, LEAF, BLOCK_DOCS, BLOCK_SHINGLES = 8, 64, 32, 1024, 1_000_000
 
 
 def least_agreement(percent: int, coords: int) -> int:
@@ -53,8 +53,8 @@ def sketches(docs: DataFrame, words: int, coords: int, id_col: str, text_col: st
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = factors_of(coords)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 sets = shingle_sets(part.column("text").to_pylist(), words)
                 hashes = [set_hashes(s) for s in sets]
                 sigs = np.concatenate([signature(s, factors) for s in sets]) if sets else np.zeros(0, np.int32)
@@ -139,7 +139,7 @@ def compare_clusters(texts: DataFrame, percent: int, words: int) -> DataFrame:
             for r in own:  # texts become sets a few at a time
                 ids.append(r[3])
                 piece.append(r[4])
-                if len(piece) == 256:
+                if len(piece) == 64:
                     sets += shingle_sets(piece, words)
                     piece = []
             sets += shingle_sets(piece, words)

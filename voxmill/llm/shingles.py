@@ -41,7 +41,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(texts))
 
 
-def shingle_sets(texts: list[str], words: int = 5, piece: int = 4_000_000) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], words: int = 5, piece: int = 1_000_000) -> list[np.ndarray]:
     """Sorted distinct hashes of the runs of `words` words of each text; of all its words where it has fewer."""
     out: list[np.ndarray] = []
     k = 0
