@@ -30,7 +30,7 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 
 from .common import cut, documents, text_of
 
-DICTIONARY, SLOTS, LONG = 900_000, 1 << 20, 96
+DICTIONARY, SLOTS, HOT_SLOTS, LONG = 900_000, 1 << 20, 1 << 14, 96
 NO_RANK = 1 << 17
 
 
@@ -147,8 +147,8 @@ class Vocabulary:
 
                 def at(p: Column) -> Column:  # p: place of the left id, from 0
                     after = F.get(own, p + 2).bitwiseAND(low)
-                    rest = F.filter(own, lambda x, i: i != p + 1)
-                    return F.transform(rest, lambda x, i: F.when(i == p, self.packed(new, after)).when(i == p - 1, self.packed(x.bitwiseAND(low), new)).otherwise(x))
+                    put = lambda x, i: F.when((i < p - 1) | (i > p + 1), x).when(i == p, self.packed(new, after)).when(i == p - 1, self.packed(x.bitwiseAND(low), new)).otherwise(F.lit(-1).cast("long"))
+                    return F.array_remove(F.transform(own, put), -1)
 
                 return F.when(best >= none, own).otherwise(bind((F.array_position(own, best) - 1).cast("int"), at))
 
@@ -181,8 +181,8 @@ class Vocabulary:
         return F.when(F.octet_length(word) <= LONG, self.fold_short(word)).otherwise(self.fold_long(word))
 
     def decode(self, ids: Column) -> Column:
-        """Bytes of an array of ids; an id that the vocabulary lacks has none."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
+        """Bytes of an array of ids (numbers, or their decimals); an id that the vocabulary lacks has none."""
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i.cast("int"))), ""), "ISO-8859-1")
 
 
 @lru_cache(2)
@@ -213,36 +213,51 @@ def common_words(docs: DataFrame, most: int, text_col: str = "text", regex: str
     return words.where(F.col("level") >= (least if least is not None else 1 << 30)).select("word", "n")
 
 
-def slot(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(SLOTS - 1).cast("int")
+def slot(word: Column, slots: int) -> Column:
+    return F.xxhash64(word).bitwiseAND(slots - 1).cast("int")
 
 
-def dictionary_of(words: DataFrame, v: Vocabulary) -> list[tuple[Column, Column]]:
-    """Two literal tables of words and their ids by slot; of words that share a slot the commonest two are in."""
-    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def field(name: str):
+    return lambda r: r[name]
+
+
+def tables(words: DataFrame, slots: int, deep: int) -> list[Column]:
+    """Literal tables word, ids (word, ids, ... for `deep` words a slot) of word, ids, n; the commonest words of a slot are in."""
     by_slot = Window.partitionBy("slot").orderBy(F.desc("n"), "word")
-    words = words.withColumn("slot", slot(F.col("word"))).withColumn("k", F.row_number().over(by_slot)).where("k <= 2")
-    words = words.withColumn("ids", v.fold(F.col("word")))
-    first = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    cells = words.groupBy("slot").agg(*(first(k, c).alias(f"{c}{k}") for k in (1, 2) for c in ("word", "ids")))
-    every = words.sparkSession.range(SLOTS).join(cells, F.col("id") == F.col("slot"), "left")
-    sorted_ = every.agg(F.array_sort(F.collect_list(F.struct("id", "word1", "ids1", "word2", "ids2"))).alias("x"))
-    one = sorted_.select(*(F.transform("x", lambda r: r[c]).alias(c) for c in ("word1", "ids1", "word2", "ids2")))  # noqa: B023
-    made = only_values(one)
-    return [(made[0], made[1]), (made[2], made[3])]
+    words = words.withColumn("slot", slot(F.col("word"), slots)).withColumn("k", F.row_number().over(by_slot)).where(F.col("k") <= deep)
+    names = [f"{c}{k}" for k in range(1, deep + 1) for c in ("word", "ids")]
+    cells = words.groupBy("slot").agg(*(F.max(F.when(F.col("k") == int(c[-1]), F.col(c[:-1]))).alias(c) for c in names))
+    every = words.sparkSession.range(slots).join(cells, F.col("id") == F.col("slot"), "left")
+    one = every.agg(F.array_sort(F.collect_list(F.struct("id", *names))).alias("x"))
+    return only_values(one.select(*(F.transform("x", field(c)).alias(c) for c in names)))
+
+
+def dictionary_of(words: DataFrame, v: Vocabulary):
+    """An expression for a word's ids: a small table of the very common words first, then a large one, then the fold."""
+    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = cut(words.withColumn("ids", v.fold(F.col("word"))))
+    (w0, e0), (w1, e1, w2, e2) = tables(words, HOT_SLOTS, 1), tables(words, SLOTS, 2)
+
+    def ids_of(word: Column) -> Column:
+        hot = F.xxhash64(word).bitwiseAND(HOT_SLOTS - 1)  # twice is cheaper than binding it
+        rest = bind(F.xxhash64(word).bitwiseAND(SLOTS - 1), lambda s: F.when(F.get(w1, s) == word, F.get(e1, s)).when(F.get(w2, s) == word, F.get(e2, s)).otherwise(v.fold(word)))
+        return F.when(F.get(w0, hot) == word, F.get(e0, hot)).otherwise(rest)
+
+    return ids_of
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, regex: str | None = None, dictionary: int = DICTIONARY, text_col: str = "text") -> DataFrame:
-    """Columns row (all of docs, as a struct), ids (array<int>) and ids_text (the same as decimals joined by spaces)."""
+    """Columns row (all of docs, as a struct), ids_text (decimals joined by spaces) and parts (the same as array<string>);
+    ids_of(parts) are the ids as array<int>."""
     v, text = vocabulary(path), text_of(text_col)
-    (w1, e1), (w2, e2) = dictionary_of(common_words(docs, dictionary, text_col, regex), v)
+    encoded = dictionary_of(common_words(docs, dictionary, text_col, regex), v)
+    out = docs.select(F.struct("*").alias("row"), F.array_join(F.transform(pieces(text, regex), encoded), " ").alias("ids_text"))
+    parts = F.when(F.col("ids_text") == "", F.array().cast("array<string>")).otherwise(F.split("ids_text", " "))
+    return out.select("row", "ids_text", parts.alias("parts"))
 
-    def encoded(word: Column) -> Column:
-        return bind(slot(word), lambda s: F.when(F.get(w1, s) == word, F.get(e1, s)).when(F.get(w2, s) == word, F.get(e2, s)).otherwise(v.fold(word)))
 
-    out = docs.select(F.struct("*").alias("row"), F.array_join(F.transform(pieces(text, regex), encoded), " ").alias("ids_text"))
-    ids = F.when(F.col("ids_text") == "", F.array().cast("array<int>")).otherwise(F.transform(F.split("ids_text", " "), lambda x: x.cast("int")))
-    return out.select("row", ids.alias("ids"), "ids_text")
+def ids_of(parts: Column | str) -> Column:
+    return F.transform(parts, lambda x: x.cast("int"))
 
 
 def decode_ids(ids: Column, path: str | None = None) -> Column:
@@ -252,7 +267,7 @@ def decode_ids(ids: Column, path: str | None = None) -> Column:
 def digests(encoded: DataFrame, path: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256; more: "ids" or columns of the documents."""
     v = vocabulary(path)
-    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2(v.decode(F.col("ids")), 256).alias("decoded_sha256"), *(F.col(c if c == "ids" else f"row.{c}").alias(c) for c in more))
+    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("parts").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2(v.decode(F.col("parts")), 256).alias("decoded_sha256"), *(ids_of("parts").alias("ids") if c == "ids" else F.col(f"row.{c}").alias(c) for c in more))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
