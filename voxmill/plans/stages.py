@@ -20,6 +20,8 @@ from ..sources.media import convert_audio, cut_chunks, probe, probe_wav
 class Config:
     """Settings by section; the audio's are the ones that preprocessing reads."""
 
+    # The defaults of the pipeline's configuration.
+
     asr_model: str = "large-v3"
     asr_device: str = "cpu"
     asr_compute_type: str = "int8"
