@@ -25,9 +25,11 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import documents, shared_path, text_of
 
 MAGIC, HEADER = b"VXPF", "<4sIQQQI"
-BLOCK, PERCENTILE, SHARD_TOKENS, END_ID = 128, 95, 2_000_000, 1
-CACHE, CACHED_BYTES = 1 << 19, 64
+BLOCK, PERCENTILE, SHARD_TOKENS, END_ID = 128, 98, 2_000_000, 1
+CACHE, CACHED_BYTES, PIECE = 1 << 19, 64, 3_000_000
 
 
 def tokenizer_path() -> str:
@@ -46,27 +48,85 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes."""
+    """Ids of texts as little-endian uint32 bytes. Words that aren't in the cache yet go through the library many at a
+    time, with a mark between them that is a token of its own."""
+
+    MARK = "\x01"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        mark = self._ids([self.MARK])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        if self.mark is None:
+            return [x.tobytes() for x in self._ids([w.decode() for w in words])]
+        out: list[bytes] = []
+        for k in range(0, len(words), 512):
+            ids = self._ids([f" {self.MARK} ".join([w.decode() for w in words[k : k + 512]])])[0]
+            marks = np.flatnonzero(ids == self.mark) * 4
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)], strict=True)]
+        return out
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.cache) > CACHE:  # the words met first are the commonest
+            self.cache = dict(islice(self.cache.items(), CACHE // 2))
+        get, mark = self.cache.get, self.MARK.encode()
+        out = [get(w) for w in words]
+        new = [k for k, x in enumerate(out) if x is None]
+        plain = [k for k in new if len(words[k]) <= CACHED_BYTES and mark not in words[k]]
+        odd = [k for k in new if len(words[k]) > CACHED_BYTES or mark in words[k]]
+        for k, x in zip(plain, self._encode_words([words[k] for k in plain]), strict=True):
+            out[k] = self.cache[words[k]] = x
+        for k in odd:
+            out[k] = self._ids([words[k].decode()])[0].tobytes()
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        known, own = self.cache, {}
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHED_BYTES else own)[w] = np.array(e.ids, "<u4").tobytes()
-        if own:
-            return [b"".join([known[w] if w in known else own[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has. Words are split and told apart by Arrow, so Python sees the
+        distinct ones of a piece only."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        which, ends = coded.indices.to_numpy(), np.asarray(split.offsets)
+        ends = ends - ends[0]
+        known = self._known(coded.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        table, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = table[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[ends])
+
+
+def pieces_of(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """(start, rows) of pieces of about `size` bytes, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    start = total = 0
+    for k, n in enumerate(lengths):
+        if k > start and total + n > size:
+            yield start, k - start
+            start, total = k, 0
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths) - start
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One encoder per Python worker: its cache serves all tasks that the worker runs."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def bit_widths(x: np.ndarray) -> np.ndarray:
@@ -160,33 +220,38 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, e
     src = src.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, at = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        last, ids, doc_ids, n = np.array([end_id], "<u4").tobytes(), [], [], 0
+        encoder, part, seq, at = encoder_for(tokenizer), TaskContext.get().partitionId(), 0, 0
+        ids, counts, doc_ids, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            image = pack(np.frombuffer(b"".join(ids), "<u4"), doc_ids, counts, end_id, block, percentile)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "at": [at], "n_docs": [len(ids)], "n_tokens": [n], "image": [image]})
+            image = pack(np.concatenate(ids), doc_ids, np.array(counts, np.int64), end_id, block, percentile)
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "at": [at], "n_docs": [len(counts)], "n_tokens": [n], "image": [image]})
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                own = batch.slice(k, 256)
-                texts, names = own.column("text").to_pylist(), own.column("doc_id").to_pylist()
-                for name, encoded in zip(names, encoder.encode(texts), strict=True):
-                    ids.append(encoded + last)
+            for start, rows in pieces_of(batch.column("text")):
+                own = batch.slice(start, rows)
+                coded, sizes = encoder.encode(own.column("text"))
+                whole = np.full(len(coded) + rows, end_id, np.uint32)
+                ends = np.cumsum(sizes + 1)
+                inside = np.ones(len(whole), bool)
+                inside[ends - 1] = False
+                whole[inside] = coded
+                for name, a, b in zip(own.column("doc_id").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    ids.append(whole[a:b])
+                    counts.append(b - a)
                     doc_ids.append(name)
-                    n += len(ids[-1]) // 4
+                    n += b - a
                     if n >= shard_tokens:
                         yield close()
-                        ids, doc_ids, seq, at, n = [], [], seq + 1, at + n, 0
-        if ids:
+                        ids, counts, doc_ids, seq, at, n = [], [], [], seq + 1, at + n, 0
+        if counts:
             yield close()
 
-    src.mapInArrow(go, "part long, seq long, at long, n_docs long, n_tokens long, image binary").write.mode("overwrite").parquet(path)
+    src.mapInArrow(go, "part long, seq long, at long, n_docs long, n_tokens long, image binary").write.mode("overwrite").option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
-def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start (ids of all before it), n_tokens, ids (little-endian uint32)."""
+def read_token_file(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Per document: doc_id, start (ids of all before it), n_tokens, ids_crc32 and, if wanted, ids (little-endian uint32)."""
     shards = spark.read.parquet(path)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per writing task
     before = np.cumsum([0, *(r.n for r in parts)])[:-1] if parts else []
@@ -202,12 +267,13 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends - image.counts
                 for i in range(0, len(ends), 1024):
                     own = slice(i, i + 1024)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(image.doc_ids[own], pa.int64(), mask=image.null[own] == 1), pa.array(starts[own] + start, pa.int64()), pa.array(image.counts[own].astype(np.int64)),
-                        pa.array([ids[4 * a : 4 * b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)], pa.binary()),
-                    ], names=["doc_id", "start", "n_tokens", "ids"])
+                    parts = [ids[4 * a : 4 * b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+                    columns = [pa.array(image.doc_ids[own], pa.int64(), mask=image.null[own] == 1), pa.array(starts[own] + start, pa.int64()), pa.array(image.counts[own].astype(np.int64)), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())] if with_ids else columns, names=names)
 
-    return shards.mapInArrow(go, "doc_id long, start long, n_tokens long, ids binary")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
+    return shards.mapInArrow(go, schema)
 
 
 def export_images(spark: SparkSession, path: str, folder: str) -> DataFrame:
@@ -228,7 +294,7 @@ def export_images(spark: SparkSession, path: str, folder: str) -> DataFrame:
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = shared_path(spark, "tokens")
     write_token_file(documents(spark, sf_dir), at)
-    return read_token_file(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_file(spark, at, with_ids=False)
 
 
 QUERIES = {"op3_token_file": op3_token_file}
