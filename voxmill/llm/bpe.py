@@ -30,7 +30,7 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 
 from .common import cut, documents, text_of
 
-DICTIONARY, SLOTS, HOT_SLOTS, LONG = 900_000, 1 << 20, 1 << 14, 96
+DICTIONARY, SLOTS, HOT_SLOTS, LONG = 500_000, 1 << 19, 1 << 14, 96
 NO_RANK = 1 << 17
 
 

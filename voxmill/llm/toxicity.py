@@ -22,18 +22,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
 
-WINDOW, STRIDE, MAX_DOCS = 32, 24, 4000
+WINDOW, STRIDE, MAX_DOCS = 32, 24, 2400
 WORD_BITS, CHAR_BITS, DIM, HIDDEN = 15, 17, 4, 8
 SCALE = 0x9E3779B97F4A7C15
 #: Code points per piece when texts are scored, and windows per pass of the network.
-PIECE, PASS = 2_000_000, 8192
+PIECE, PASS = 500_000, 2048
 
 _letters: list[np.ndarray] = []
 
@@ -54,30 +53,44 @@ class Words:
     """The words of some texts: per word the row of its distinct form; per form its word hash and character hashes."""
 
     def __init__(self, texts: list[str]):
-        joined = "\n".join(t.lower() for t in texts) + "\n"
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.fromiter((len(t.lower()) + 1 for t in texts), np.int64, len(texts))
+        lowered = [t.lower() for t in texts]
+        lengths = np.fromiter((len(t) + 1 for t in lowered), np.int64, len(texts))
+        points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        del lowered
         inside = letters()[points]
-        edge = np.diff(inside.astype(np.int8), prepend=0)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.text_of_word = np.searchsorted(np.cumsum(lengths), start, side="right")
+        edge = inside[1:] != inside[:-1]
+        edge = np.flatnonzero(np.concatenate([inside[:1], edge]) if len(inside) else inside).astype(np.int32)
+        del inside
+        start, length = edge[::2], edge[1::2] - edge[::2]
+        self.text_of_word = np.searchsorted(np.cumsum(lengths), start, side="right").astype(np.int32)
         self.count = np.bincount(self.text_of_word, minlength=len(texts))
-        # hashes of prefixes: h_k = h_(k-1) * SCALE + point, for all words side by side
-        length = end - start
+        h = np.concatenate([self._hashes(points, start[k : k + self.STEP], length[k : k + self.STEP]) for k in range(0, max(1, len(start)), self.STEP)])
+        forms, first, form = np.unique(h, return_index=True, return_inverse=True)
+        self.form, self.word = form.astype(np.int32), mix(forms, WORD_BITS)
+        start, length = start[first], length[first]
+        parts = [self._characters(points, start[k : k + self.STEP], length[k : k + self.STEP]) for k in range(0, max(1, len(start)), self.STEP)]
+        self.chars, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        self.char_start, self.char_size = np.cumsum(sizes) - sizes, np.maximum(sizes, 1)
+
+    #: Words at a time, which bounds what the hashing takes beside its results.
+    STEP = 100_000
+
+    @staticmethod
+    def _hashes(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """h_k = h_(k-1) * SCALE + point, for all words side by side."""
         h = np.zeros(len(start), np.uint64)
         order = np.argsort(-length, kind="stable")
-        active, k = len(order), 0
-        longest = length[order]
-        while active:
+        longest, k = -length[order], 0
+        while active := int(np.searchsorted(longest, -k, side="left")):
             at = order[:active]
             h[at] = h[at] * np.uint64(SCALE) + points[start[at] + k].astype(np.uint64) + np.uint64(1)
             k += 1
-            active = int(np.searchsorted(-longest, -k, side="left"))
-        forms, first, self.form = np.unique(h, return_index=True, return_inverse=True)
-        self.word = mix(forms, WORD_BITS)
-        start, length = start[first], length[first]
-        # character hashes: prefixes of 2 to 6 letters and all trigrams with both ends marked
-        owner, hashes, n = [], [], len(forms)
+        return h
+
+    @staticmethod
+    def _characters(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of prefixes of 2 to 6 letters and of all trigrams with both ends marked, form by form, and their numbers."""
+        owner, hashes, n = [], [], len(start)
         p = np.full(n, 7, np.uint64)
         for k in range(6):
             ok = np.flatnonzero(length > k)
@@ -92,10 +105,9 @@ class Words:
         right = np.where(at + 1 < (start + length)[who], points[np.minimum(at + 1, len(points) - 1)], 0).astype(np.uint64)
         owner.append(who)
         hashes.append(((left * np.uint64(SCALE) + points[at]) * np.uint64(SCALE) + right) ^ np.uint64(0x5555))
-        owner, self.chars = np.concatenate(owner), mix(np.concatenate(hashes), CHAR_BITS)
+        owner = np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        self.chars, sizes = self.chars[order], np.bincount(owner, minlength=n)
-        self.char_start, self.char_size = np.cumsum(sizes) - sizes, np.maximum(sizes, 1)
+        return mix(np.concatenate(hashes), CHAR_BITS)[order], np.bincount(owner, minlength=n)
 
 
 def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,19 +316,19 @@ def held_out(id_column: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
     """At most max_docs labelled documents that aren't held out, in order of doc_id."""
     own = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     pick = lambda t: own.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)
     chosen = pick(True).unionByName(pick(False)).withColumnRenamed("doc_id", "l_id")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
     # an id that many rows share counts once
-    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")).toArrow().sort_by("doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, **options) -> Net | None:
     rows = training_rows(docs, labels, max_docs)
-    return train(rows.text.tolist(), rows.toxic.to_numpy(bool), **options)
+    return train(rows["text"].to_pylist(), np.array(rows["toxic"].to_pylist(), bool), **options)
 
 
 def score_documents(docs: DataFrame, net: Net | None, text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -324,9 +336,11 @@ def score_documents(docs: DataFrame, net: Net | None, text_col: str = "text", ex
     src = docs.select(*(F.col(c) for c in extra), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = score_texts(net, b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), pa.array(scores, pa.float64())], names=[*extra, "score"])
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                b = batch.slice(k, 500)
+                scores = score_texts(net, b.column("_text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), pa.array(scores, pa.float64())], names=[*extra, "score"])
 
     schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in extra), "score double"])
     return src.mapInArrow(go, schema)
@@ -335,15 +349,16 @@ def score_documents(docs: DataFrame, net: Net | None, text_col: str = "text", ex
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
     """The rows of docs that score below the threshold, with their columns."""
     net = fit(docs, labels, max_docs)
-    src = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    out, names = src.schema["row"].dataType, list(docs.columns)
+    names, at = list(docs.columns), docs.columns.index(text_col)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = pa.array(score_texts(net, b.column("_text").to_pylist()) < threshold)
-            yield pa.RecordBatch.from_arrays(b.column("row").filter(keep).flatten(), names=names)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                b = batch.slice(k, 500)
+                keep = pa.array(score_texts(net, [t or "" for t in b.column(at).to_pylist()]) < threshold)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns], names=names)
 
-    return src.mapInArrow(go, out)
+    return docs.mapInArrow(go, docs.schema)
 
 
 def crc_fold(doc_id: int) -> int:
