@@ -25,7 +25,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from .common import documents, shared_path, text_of
 
 MAGIC, HEADER = b"VXPF", "<4sIQQQI"
 BLOCK, PERCENTILE, SHARD_TOKENS, END_ID = 128, 98, 2_000_000, 1
-CACHE, CACHED_BYTES, PIECE = 1 << 19, 64, 3_000_000
+CACHE, YOUNG, CACHED_BYTES, PIECE = 600_000, 100_000, 64, 6_000_000
 
 
 def tokenizer_path() -> str:
@@ -57,7 +56,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.young = Tokenizer.from_file(path), {}, {}
         mark = self._ids([self.MARK])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
@@ -76,16 +75,21 @@ class Encoder:
         return out
 
     def _known(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words."""
-        if len(self.cache) > CACHE:  # the words met first are the commonest
-            self.cache = dict(islice(self.cache.items(), CACHE // 2))
-        get, mark = self.cache.get, self.MARK.encode()
-        out = [get(w) for w in words]
-        new = [k for k, x in enumerate(out) if x is None]
+        """Ids of distinct words. The cache fills with the words met first, among them all common ones; later words have
+        a smaller cache that starts anew when it is full."""
+        if len(self.young) > YOUNG:
+            self.young = {}
+        mark, old, young = self.MARK.encode(), self.cache.get, self.young.get
+        out = [old(w) for w in words]
+        missed = [k for k, x in enumerate(out) if x is None]
+        for k in missed:
+            out[k] = young(words[k])
+        new = [k for k in missed if out[k] is None]
+        keep = self.cache if len(self.cache) < CACHE else self.young
         plain = [k for k in new if len(words[k]) <= CACHED_BYTES and mark not in words[k]]
         odd = [k for k in new if len(words[k]) > CACHED_BYTES or mark in words[k]]
         for k, x in zip(plain, self._encode_words([words[k] for k in plain]), strict=True):
-            out[k] = self.cache[words[k]] = x
+            out[k] = keep[words[k]] = x
         for k in odd:
             out[k] = self._ids([words[k].decode()])[0].tobytes()
         return out
