@@ -2,8 +2,8 @@ r"""Operator 1, chat formatting, in DataFrame functions only.
 
 Messages form reply trees. Iterative self-joins double the distance that each message looks up (a tree of depth d
 takes log2 d joins) and add up depth and score; the leaves are ranked by the score of their branch, and the joins are
-run backwards over the kept jump tables to list the messages of each chosen path. Only ids and numbers take part;
-texts are joined once, at the end. A path is one conversation and one row, so its size bounds a task, not the tree's.
+run backwards over the kept steps to list the messages of each chosen path. Each round is a plan of one join between
+written tables, so plans don't grow with depth. Only ids and numbers take part; texts are joined once, at the end. A path is one conversation and one row, so its size bounds a task, not the tree's.
 
 Template of a turn: `### role: text</turn>\n`. In roles and texts `\` becomes `\b`, `<` becomes `\l` and `#` becomes
 `\h`; in roles also `:` becomes `\c` and a line break `\n`. So no text can hold a marker, and undoing the letters,
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, shared_path, text_of, written
 
 OPEN, MID, CLOSE = "### ", ": ", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
@@ -37,45 +37,62 @@ def unescape(text: Column, pairs=ESCAPES) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[1]), F.lit(p[0])), pairs[::-1], text)
 
 
-def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """From tree, id, parent, score: for each k the nodes that have an ancestor 2**k steps up (tree, id, up), and for
-    each node below a root its depth (messages on its path) and the total score of the path. A node leaves the rounds
-    when it has seen its root, so only the deep ones are joined again."""
+#: A step: a message, the ancestor 2**round above it (null past the root), and depth and score of what lies between.
+STEPS = "tree {tree}, id {id}, up {id}, depth long, total double, round int, open boolean"
+
+
+def climb(nodes: DataFrame, at: str) -> tuple[DataFrame, int]:
+    """From tree, id, parent, score: the steps of all rounds, and how many rounds there were. A message is `open` in the
+    rounds after which it still has an ancestor to look up; the round that closes it gives its depth (messages on its
+    path) and the total score of the path. Each round appends to one table, so every plan scans a table and joins once."""
+    kinds = dict(nodes.dtypes)
+    schema = STEPS.format(tree=kinds["tree"], id=kinds["id"])
+
+    def keep(df: DataFrame, k: int) -> DataFrame:
+        df = df.withColumns({"round": F.lit(k), "open": F.isnotnull("up")})
+        df.write.mode("append").partitionBy("round", "open").parquet(at)
+        return nodes.sparkSession.read.schema(schema).parquet(at)
+
     ids = nodes.select(F.col("tree").alias("t"), F.col("id").alias("i"))
-    at = nodes.join(ids, nodes["tree"].eqNullSafe(ids["t"]) & (nodes["parent"] == ids["i"]), "left")
-    at = cut(at.select("tree", "id", F.col("i").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
-    done, a, tables = at.where("up is null"), at.where("up is not null"), []
-    most = a.count()
-    while a.limit(1).count() and 2 ** len(tables) <= most:  # longer than all messages: only circles are left
-        tables.append(a.select("tree", "id", "up"))
-        b = a.unionByName(done).select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+    first = nodes.join(ids, nodes["tree"].eqNullSafe(ids["t"]) & (nodes["parent"] == ids["i"]), "left")
+    steps, k = keep(first.select("tree", "id", F.col("i").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")), 0), 0
+    most = steps.count()
+    while 2**k <= most and steps.where(F.col("open") & (F.col("round") == k)).limit(1).count():  # longer than all messages: only circles are left
+        a = steps.where(F.col("open") & (F.col("round") == k)).drop("round", "open")
+        known = steps.where(~F.col("open") | (F.col("round") == k))
+        b = known.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
         both = a.join(b, a["tree"].eqNullSafe(b["t"]) & (a["up"] == b["i"]))
-        both = cut(both.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")))
-        done, a = done.unionByName(both.where("up is null")), both.where("up is not null")
-    return tables, done
+        k += 1
+        steps = keep(both.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")), k)
+    return steps, k
 
 
 def chosen_paths(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
     """Rows of tree, leaf, rank, pos, id: the messages of the `keep` best branches of each tree (None: of all)."""
-    tables, top = jump_tables(nodes)
+    steps, rounds = climb(nodes, shared_path(nodes.sparkSession, "steps"))
     parents = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("u")).distinct()
+    top = steps.where(~F.col("open"))
     leaves = top.join(parents, top["tree"].eqNullSafe(parents["t"]) & (top["id"] == parents["u"]), "left_anti")
     leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "id")))
     if keep is not None:
         leaves = leaves.where(F.col("rank") <= keep)
-    path = leaves.select("tree", F.col("id").alias("leaf"), "rank", (F.col("depth") - 1).alias("pos"), "id")
-    for k in reversed(range(len(tables))):
-        jump = tables[k].select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
+    path = cut(leaves.select("tree", F.col("id").alias("leaf"), "rank", (F.col("depth") - 1).alias("pos"), "id"))
+    for k in reversed(range(rounds)):
+        jump = steps.where(F.col("open") & (F.col("round") == k)).select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
         path = path.join(jump, path["tree"].eqNullSafe(jump["t"]) & (path["id"] == jump["i"]), "left")
         both = F.array(F.struct("pos", "id"), F.struct((F.col("pos") - 2**k).alias("pos"), F.col("up").alias("id")))
-        path = path.select("tree", "leaf", "rank", F.explode(F.filter(both, lambda s: s.id.isNotNull())).alias("s")).select("tree", "leaf", "rank", "s.pos", "s.id")
+        path = cut(path.select("tree", "leaf", "rank", F.explode(F.filter(both, lambda s: s.id.isNotNull())).alias("s")).select("tree", "leaf", "rank", "s.pos", "s.id"))
     return path
 
 
-def format_trees(messages: DataFrame, keep: int | None = 1) -> DataFrame:
-    """From tree, id, parent, role, text, score: tree, leaf, rank, formatted and loss_spans, one row per chosen path."""
-    own = Window.partitionBy("tree", "id").orderBy("parent", "role", "text")
-    messages = messages.select("tree", "id", "parent", "role", "text", "score").withColumn("n", F.row_number().over(own)).where("n = 1").drop("n")
+def format_trees(messages: DataFrame, keep: int | None = 1, unique: bool = False) -> DataFrame:
+    """From tree, id, parent, role, text, score: tree, leaf, rank, formatted and loss_spans, one row per chosen path.
+    unique: tree and id are known to identify a message."""
+    messages = messages.select("tree", "id", "parent", "role", "text", "score")
+    if not unique:
+        own = Window.partitionBy("tree", "id").orderBy("parent", "role", "text")
+        messages = messages.withColumn("n", F.row_number().over(own)).where("n = 1").drop("n")
+    messages = written(messages, "messages")
     path = chosen_paths(messages.select("tree", "id", "parent", "score"), keep)
     said = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.concat(F.lit(OPEN), escape(text_of("role"), ROLE_ESCAPES), F.lit(MID)).alias("head"), escape(text_of("text")).alias("body"), (text_of("role") == "assistant").alias("learnt"))
     turns = path.join(said, path["tree"].eqNullSafe(said["t"]) & (path["id"] == said["i"]))
@@ -116,7 +133,7 @@ HARD_TEXT = r"\### Assistant: </turn> ok"
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
-    out = format_trees(as_chains(rows.unionByName(hard)))
+    out = format_trees(as_chains(rows.unionByName(hard)), unique=True)
     turns = read_turns(F.col("formatted"))
     joined = F.array_join(F.transform(turns, lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
     loss = read_loss(F.col("formatted"), F.col("loss_spans"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not have:
         if not wanted and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="voxmill-checkpoints-"))
+        if not wanted:
+            delete_at_end(spark, own := tempfile.mkdtemp(prefix="voxmill-checkpoints-"))
+        sc.setCheckpointDir(wanted or own)
         have = sc.getCheckpointDir()
     return wanted or have
 
@@ -33,21 +34,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_roots: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's folder in the shared one, which goes when the application ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _roots:
+        _roots[key] = f"{shared_dir(spark).rstrip('/')}/voxmill-{uuid.uuid4().hex}"
+        delete_at_end(spark, _roots[key])
+    return f"{_roots[key]}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, of which later steps read the columns they need."""
+    at = shared_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Makes the folder, in whatever store it is, and has it deleted when the driver's JVM ends."""
+    fs, at = _file_system(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it is."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased and nothing else: lower() where the text is ASCII, else one byte-wise replacement per letter."""
-    each = reduce(lambda t, i: F.replace(t, F.lit(chr(i)), F.lit(chr(i + 32))), range(65, 91), text)
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(each)
+    """A-Z lower-cased and nothing else: lower() where the text is ASCII, else one pass of translate()."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def text_of(column: Column | str) -> Column:
