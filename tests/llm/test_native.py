@@ -38,10 +38,11 @@ def test_native_plans(spark):
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
-@pytest.mark.parametrize("bits", [1 << 27, 16])
-def test_exact_dedup(spark, bits):
+@pytest.mark.parametrize("bits,hot", [(1 << 27, 1000), (64, 3), (128, 1000)])
+def test_exact_dedup(spark, bits, hot):
+    """In one segment and in many, and with groups that come back by the broadcast."""
     data = rows() + [(500, "short ", "en", "s1", 6, *[None] * 7), (499, "s hort", "en", "s1", 6, *[None] * 7)]
-    got = X.exact_dedup(table(spark, data), max_filter_bits=bits).collect()
+    got = X.exact_dedup(table(spark, data), filter_bits=bits, hot=hot).collect()
     groups = collections.defaultdict(list)
     for r in data:
         groups["".join(c for c in r[1] or "" if c not in SPACES)].append((r[0], r[1] or ""))
@@ -58,6 +59,27 @@ def test_exact_dedup(spark, bits):
     assert X.exact_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 10])
+def test_bloom_filter(spark, bits):
+    """Whatever the number of segments, rows with an equal are found, and most others pass without a shuffle."""
+    n = 4000
+    h = spark.range(n).select("id", F.xxhash64(F.when(F.col("id") < 300, F.col("id") % 100).otherwise(F.col("id"))).alias("h"))
+    seen = X.sift(h, n, filter_bits=bits)
+    got = {r.id: r.maybe for r in seen.collect()}
+    assert len(got) == n and all(got[k] for k in range(300))
+    assert sum(got.values()) < 300 + n * 0.15
+    few = h.where(X.segment_of(F.col("h"), 4) == 1)
+    plan = X.probe(few, X.repeated_bits(few, 2, 256), 2, 256)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "bit_xor" in plan
+
+
+def test_all_copies(spark):
+    """A table of one text: the whole group comes back by the broadcast."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"))
+    got = X.exact_dedup(docs).groupBy("keep_id", "group_size").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()
+    assert [tuple(r) for r in got] == [(0, 3000, 3000, 1)]
+
+
 def drop_lines(data):
     docs = collections.defaultdict(set)
     keys = lambda t: [lower(x.strip(SPACES)) for x in (t or "").split("\n")]

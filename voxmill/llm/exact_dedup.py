@@ -1,13 +1,17 @@
 """Operator 10, exact dedup by two passes of a Bloom filter, in DataFrame functions only.
 
-Pass 1 hashes each normalised text, sets `hashes` cells of a filter per row and keeps, as 64-bit words, the cells
-that two or more rows hit. Pass 2 probes every row: a row with a cell that no other row hit has no equal, and passes
-straight through without a shuffle. Only the others are grouped by their digest.
-
-The filter has 16 to 32 cells a row, so its size is known before it is sent; beyond `max_filter_bits` (16 MB of bits)
-it isn't sent, and all rows go the way of the possibly repeated. A digest with many copies is summed per task before
-the shuffle; groups of at least a thousandth of all rows (a thousand of them at most) come back by a broadcast, so no
-task gets all copies of a text.
+Rows are written once without their texts: id, length, digest of the normalised text, and a hash of 64 bits. The hashes
+are divided into segments of so many rows that a segment's filter has `filter_bits` bits at most, and each segment goes
+through two passes, however many there are. Pass 1 puts each row's bits into one word of 64 (a blocked filter) and sums,
+per task and then per word, which bits any row set and which an even number did; a word tells from these which bits two
+or more rows set (all of its bits, where some bit was set three times). Pass 2 sends that filter to the rows of its
+segment: a row with a bit that no other row set has no equal, and passes straight through without a shuffle. Only the
+others are grouped by their digest.
+
+A filter is a broadcast of filter_bits / 64 words at most (2**21 by default), whatever the table's size. The rounds, 16
+bits a row by filter_bits, read one number per row each; a cluster with more memory for broadcasts sets filter_bits
+higher and has fewer. A digest with many copies is summed per task before the shuffle; groups of at least a thousandth
+of all rows (a thousand of them at most) come back by a broadcast, so no task gets all copies of a text.
 
 Edge cases: a null text is empty; texts of white space only are equal to the empty text; a null id loses against any
 other of the same length; of rows that agree in id and length exactly one is kept; other columns are not looked at;
@@ -16,49 +20,70 @@ an empty table gives no row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, documents, text_of
+from .common import SPACES, documents, shared_path, text_of, written
 
-MAX_FILTER_BITS = 1 << 27
+FILTER_BITS, BITS_PER_ROW, HASHES, HOT = 1 << 27, 16, 2, 1000
 
 
 def normalised(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
-def cells(digest: Column, hashes: int, size: int) -> list[Column]:
-    """Cells of the filter that a digest sets; size is a power of two."""
-    return [F.xxhash64(F.lit(i), digest).bitwiseAND(F.lit(size - 1)) for i in range(hashes)]
+def bits_of(h: Column, hashes: int) -> Column:
+    """The bits of its word that a hash sets: six bits of the hash name each."""
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+    return reduce(Column.bitwiseOR, [one(i) for i in range(hashes)])
+
+
+def segment_of(h: Column, segments: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 40), F.lit(segments))
+
+
+def word_of(h: Column, words: int) -> Column:
+    """The word of a hash, between the bits that bits_of() and segment_of() use; words is a power of two."""
+    return F.pmod(F.xxhash64(h), F.lit(words))
+
+
+def repeated_bits(rows: DataFrame, hashes: int, words: int) -> DataFrame:
+    """Pass 1, over the column h: each word with the bits that at least two rows set."""
+    own = rows.select(word_of(F.col("h"), words).alias("word"), bits_of(F.col("h"), hashes).alias("bits"))
+    sums = own.groupBy("word").agg(F.bit_or("bits").alias("any"), F.bit_xor("bits").alias("odd"), F.sum(F.bit_count("bits")).alias("n"))
+    even = F.col("any").bitwiseAND(F.bitwise_not("odd"))
+    thrice = F.col("n") > F.bit_count("odd") + 2 * F.bit_count(even)
+    return sums.select("word", F.when(thrice, F.col("any")).otherwise(even).alias("twice")).where("twice <> 0")
 
 
-def repeated_cells(rows: DataFrame, hashes: int, size: int) -> DataFrame:
-    """Pass 1: words of 64 cells with a bit for each cell that at least two rows hit."""
-    hit = rows.select(F.explode(F.array_distinct(F.array(*cells(F.col("digest"), hashes, size)))).alias("cell"))
-    twice = hit.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
+def probe(rows: DataFrame, repeated: DataFrame, hashes: int, words: int) -> DataFrame:
+    """Pass 2: adds `maybe`, false only where a bit of the row was set by no other row."""
+    rows = rows.withColumn("own_word", word_of(F.col("h"), words)).join(F.broadcast(repeated), F.col("own_word") == F.col("word"), "left")
+    bits = bits_of(F.col("h"), hashes)
+    return rows.withColumn("maybe", F.coalesce(F.col("twice").bitwiseAND(bits) == bits, F.lit(False))).drop("own_word", "word", "twice")
 
 
-def probe(rows: DataFrame, words: DataFrame, hashes: int, size: int) -> DataFrame:
-    """Pass 2: adds `maybe`, false only where a cell of the row was hit by no other row."""
-    bit = F.lit(True)
-    for i, cell in enumerate(cells(F.col("digest"), hashes, size)):
-        side = F.broadcast(words.select(F.col("word").alias(f"word_{i}"), F.col("bits").alias(f"bits_{i}")))
-        rows = rows.withColumn(f"cell_{i}", cell)
-        rows = rows.join(side, F.shiftright(f"cell_{i}", 6) == F.col(f"word_{i}"), "left")
-        bit = bit & (F.getbit(F.coalesce(F.col(f"bits_{i}"), F.lit(0).cast("long")), F.col(f"cell_{i}").bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return rows.withColumn("maybe", bit)
+def sift(rows: DataFrame, n: int, hashes: int = HASHES, bits_per_row: int = BITS_PER_ROW, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The n rows, written with `maybe`, a segment of their hashes h at a time."""
+    segments = max(1, -(-n * bits_per_row // filter_bits))
+    words = 1 << max(4, (-(-n * bits_per_row // segments // 64) - 1).bit_length())
+    at = shared_path(rows.sparkSession, "sifted")
+    for k in range(segments):
+        own = rows.where(segment_of(F.col("h"), segments) == k)
+        probe(own, repeated_bits(own, hashes, words), hashes, words).drop("h").write.mode("append").partitionBy("maybe").parquet(at)
+    schema = ", ".join(f"{c} {t}" for c, t in rows.drop("h").dtypes)
+    return rows.sparkSession.read.schema(f"{schema}, maybe boolean").parquet(at)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = 2, bits_per_row: int = 16, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, **options) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 and row_id (the row's number in the run)."""
     text = text_of(text_col)
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("length"), F.unhex(F.sha2(normalised(text), 256)).alias("digest")).withColumn("row_id", F.monotonically_increasing_id()))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("length"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_id"))
+    rows = written(rows.withColumn("h", F.xxhash64("digest")), "digests")
     n = rows.count()
-    size = 1 << max(10, (bits_per_row * n - 1).bit_length())
-    seen = probe(rows, repeated_cells(rows, hashes, size), hashes, size) if size <= max_filter_bits else rows.withColumn("maybe", F.lit(True))
-    seen = seen.select("doc_id", "length", "digest", "row_id", "maybe")
+    seen = sift(rows, n, **options)
 
     def told(df: DataFrame) -> DataFrame:
         return df.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row_id")
@@ -66,12 +91,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = seen.where(~F.col("maybe")).withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "keep_row": F.col("row_id")})
     some = seen.where("maybe")
     best = F.min(F.struct((-F.col("length")).alias("a"), F.isnull("doc_id").alias("b"), F.col("doc_id").alias("keep_id"), F.col("row_id").alias("keep_row")))
-    groups = some.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("digest", "best.keep_id", "best.keep_row", "group_size")
-    hot = max(1000, n // 1000)
-    large = groups.where(F.col("group_size") >= hot).select(F.col("digest").alias("hot_digest"), *(F.col(c).alias(f"hot_{c}") for c in ("keep_id", "keep_row", "group_size")))
-    some = some.join(F.broadcast(large), F.col("digest") == F.col("hot_digest"), "left")
+    groups = written(some.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("digest", "best.keep_id", "best.keep_row", "group_size"), "groups")
+    large = F.col("group_size") >= max(hot, n // 1000)
+    of_large = groups.where(large).select(F.col("digest").alias("hot_digest"), *(F.col(c).alias(f"hot_{c}") for c in ("keep_id", "keep_row", "group_size")))
+    some = some.join(F.broadcast(of_large), F.col("digest") == F.col("hot_digest"), "left")
     of_hot = some.where("hot_digest is not null").select("doc_id", "digest", "row_id", *(F.col(f"hot_{c}").alias(c) for c in ("keep_id", "keep_row", "group_size")))
-    of_rest = some.where("hot_digest is null").select("doc_id", "digest", "row_id").join(groups.where(F.col("group_size") < hot), "digest")
+    of_rest = some.where("hot_digest is null").select("doc_id", "digest", "row_id").join(groups.where(~large), "digest")
     return told(alone).unionByName(told(of_hot)).unionByName(told(of_rest))
 
 
