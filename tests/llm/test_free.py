@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -190,6 +191,29 @@ def test_bpe(spark):
     assert bpe.digests(bpe.encode_documents(empty(spark))).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["16 equal", "64 equal", "1000 equal", "1000 equal, one id", "1000 equal, null ids", "500 equal of 1000", "10 large groups", "one long row"])
+def test_shards_are_even(spark, kind):
+    """The law `bytes`, whatever the groups and ids: shards differ by the largest row or a hundredth of a share at most."""
+    n = int(next((x for x in kind.split() if x.isdigit()), 1000))
+    texts = ["a text that all of these rows share"] * n
+    if "of 1000" in kind:
+        texts += [f"row {k} " * (k % 9) for k in range(500)]
+    elif kind == "10 large groups":
+        texts = [f"group {k % 10}" for k in range(1000)]
+    elif kind == "one long row":
+        texts = ["long " * 3000] + [f"short {k}" for k in range(5000)]
+    ids = [7 if "one id" in kind else None if "null ids" in kind else k for k in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = sharding.pack_shards(docs).toPandas()
+    assert len(got) == len(texts) and got.text_crc32.value_counts().tolist() == pd.Series(texts).map(lambda t: zlib.crc32(t.encode())).value_counts().tolist()
+    load, largest = got.groupby("shard")["size"].sum().reindex(range(8), fill_value=0), got["size"].max()
+    if kind == "one long row":  # more than a share by itself: the other shards are even
+        load, largest = load.drop(got.shard[got["size"].idxmax()]), 0
+    assert load.max() - load.min() <= max(largest, 0.01 * load.mean())
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+
+
 def test_sharding(spark, tmp_path):
     data = rows([*TEXTS, *near_groups(), *["hot text of a third of all rows"] * 150])
     got = sharding.pack_shards(table(spark, data)).collect()
