@@ -97,14 +97,23 @@ def drop_lines(data):
 
 def test_line_dedup(spark):
     data = rows() + [(None, LINE, None, None, None, *[None] * 7), (700, f"{LINE}\n\n{LINE}\n", None, None, None, *[None] * 7), (700, f"{LINE}\nother", None, None, None, *[None] * 7)]
-    out = L.dedup_lines(table(spark, data))
-    assert sorted(repr((r.doc_id, r.n_lines, r.n_dropped, r.text)) for r in out.collect()) == drop_lines(data)
+    for hot in (1000, 3):  # by the shuffle, and by the broadcast of the common lines
+        out = L.dedup_lines(table(spark, data), hot=hot)
+        assert sorted(repr((r.doc_id, r.n_lines, r.n_dropped, r.text)) for r in out.collect()) == drop_lines(data)
     assert out.select("row.*").columns == table(spark).columns
     many = [(k, "\n".join(["some line of more than twenty characters"] * 3 + [f"own {k}"]), *[None] * 10) for k in range(50)]
     assert sorted(repr((r.doc_id, r.n_lines, r.n_dropped, r.text)) for r in L.dedup_lines(table(spark, many)).collect()) == drop_lines(many)
     assert L.dedup_lines(empty(spark)).count() == 0
 
 
+def test_one_line_in_all_rows(spark):
+    """A line of every document over many tasks, in a document of which one repeats it many times."""
+    docs = spark.range(3000).repartition(16).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{LINE}\nown line of this document "), "id", F.when(F.col("id") == 5, F.repeat(F.lit(f"\n {LINE}"), 4000)).otherwise("")).alias("text"))
+    got = L.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text").orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_dropped) for r in got] == [(2 + 4000 * (k == 5), (1 + 4000 * (k == 5)) * (k != 2999)) for k in range(3000)]
+    assert got[5].text == "own line of this document 5" and got[2999].text.startswith(LINE)
+
+
 TREE = "tree long, id long, parent long, role string, text string, score double"
 
 

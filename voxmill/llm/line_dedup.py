@@ -1,8 +1,10 @@
 """Operator 5, line dedup, in DataFrame functions only.
 
-Lines are normalised, exploded and hashed to 128 bits; documents are counted per hash, summed per task before the
-shuffle, so a very common line costs one row per task. Lines of the hashes over the threshold are joined back, and
-what they lose is gathered per document as positions; the kept slices between the positions make the new text.
+Lines are normalised, exploded and hashed to 128 bits once, into a written table of numbers; documents are counted per
+hash, summed per task before the shuffle, so a very common line costs one row per task. Lines of the hashes over the
+threshold are joined back: those in at least a thousandth of all counts (a thousand hashes at most) by a broadcast, so
+that no task gets all rows of a line, the others by a shuffle that the adaptive skew join can split. What they lose is
+gathered per document as positions; the kept slices between the positions make the new text.
 
 Edge cases: a null or empty text is one empty line; a line's key is the line without white space at both ends and
 with A-Z lower-cased; repeated rows of one id are one document; a null id counts as one document, smaller than any
@@ -15,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, documents, text_of
+from .common import SPACES, ascii_lower, documents, text_of, written
 
-MIN_CHARS, MIN_DOCS = 20, 3
+MIN_CHARS, MIN_DOCS, HOT = 20, 3, 1000
 
 
 def line_keys(text: Column) -> Column:
@@ -28,18 +30,22 @@ def hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(3), key).alias("h1"), F.xxhash64(F.lit(5), key).alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Columns: row (all columns of docs as a struct), doc_id, text (the new one), n_lines, n_dropped."""
     src = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    long_enough = lambda x: F.char_length(x) >= min_chars
-    each = src.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(line_keys(F.col("text")), long_enough), hashed))).alias("k")).select("doc_id", "k.*")
-    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
-        each = each.distinct()
-    often = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last")
-
-    at = F.filter(F.transform(line_keys(F.col("text")), lambda x, i: F.struct(i.alias("pos"), long_enough(x).alias("long"), hashed(x).alias("k"))), lambda s: s.long)
+    at = F.filter(F.transform(line_keys(F.col("text")), lambda x, i: F.struct(i.alias("pos"), x.alias("key"))), lambda s: F.char_length(s.key) >= min_chars)
+    at = F.transform(at, lambda s: F.struct(s.pos.alias("pos"), hashed(s.key).alias("k")))
     lines = src.select("doc_id", "text_key", F.explode(at).alias("s")).select("doc_id", "text_key", "s.pos", "s.k.h1", "s.k.h2")
-    lost = lines.join(often, ["h1", "h2"]).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
+    lines = written(lines, "lines")
+
+    each = lines.select("doc_id", "h1", "h2").distinct()
+    often = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    often = written(often, "often")
+    heavy = F.col("n") >= max(hot, (often.agg(F.sum("n")).first()[0] or 0) // 1000)
+    lines = lines.join(F.broadcast(often.where(heavy).select(*(F.col(c).alias(f"hot_{c}") for c in ("h1", "h2", "last")))), (F.col("h1") == F.col("hot_h1")) & (F.col("h2") == F.col("hot_h2")), "left")
+    known = lines.where("hot_h1 is not null").select("doc_id", "text_key", "pos", F.col("hot_last").alias("last"))
+    rest = lines.where("hot_h1 is null").select("doc_id", "text_key", "pos", "h1", "h2").join(often.where(~heavy).select("h1", "h2", "last"), ["h1", "h2"]).select("doc_id", "text_key", "pos", "last")
+    lost = known.unionByName(rest).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).agg(F.array_sort(F.collect_set("pos")).alias("lost"))
 
     both = src.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("text_key") == F.col("lost_key")), "left")
