@@ -169,6 +169,28 @@ def test_mixing(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["own", "null", "one"])
+def test_mixing_in_many_shards(spark, ids):
+    """Sources of many shards, with ids that can't tell rows apart, and tables that are joined by shuffles."""
+    r = random.Random(4)
+    data = [({"own": k, "null": None, "one": 7}[ids], " ".join(r.choices("abcdefg", k=r.randint(0, 60))), "hot" if k % 3 else f"s{k % 4}") for k in range(1200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    size = collections.Counter()
+    for _, t, s in data:
+        size[s] += len(words(t))
+    goal = dict(zip(sorted(size), mixing.targets([size[n] for n in sorted(size)], [(5, 2, 1)[k % 3] for k in range(len(size))]), strict=True))
+    for sent in (200_000, 0):
+        out = mixing.mix_sources(docs, shard_words=500, sent=sent).collect()
+        assert sorted((str(r.doc_id), r["size"], r.source) for r in out) == sorted((str(d), len(words(t)), s) for d, t, s in data)
+        taken = collections.Counter()
+        for row in out:
+            assert 0 <= row.taken <= 2 * row["size"] and row.target == goal[row.source]
+            taken[row.source] += row.taken
+        assert all(abs(taken[n] - g) <= 32 * 8 + 0.01 * g for n, g in goal.items())
+        again = mixing.mix_sources(docs, shard_words=500, sent=sent).collect()
+        assert sorted(map(repr, (x[1:] for x in out))) == sorted(map(repr, (x[1:] for x in again)))
+
+
 def test_apportionment():
     r = np.random.default_rng(5)
     for _ in range(50):

@@ -1,10 +1,12 @@
 """Operator 6, mixing sources to target weights, by Sainte-Lague apportionment of equal-token blocks.
 
-The words of a source are a stream of its documents, dealt by a hash of the id into shards (65,536 and one per source
-at most, whatever the size) and cut into blocks of equal numbers of words. Blocks are seats: highest quotients give
+The words of a source are a stream of its documents, dealt by a hash of id and text into shards (65,536 and one per
+source at most, whatever the size; rows that share an id or have none are spread) and cut into blocks of equal numbers
+of words. Blocks are seats: highest quotients give
 each source its quota, and again each shard of the source its own. In a shard, the blocks with the smallest seeded
 hashes are taken once more than the others. The driver sees sources and shards; documents and blocks stay
-distributed, and a source with a third of all rows is many shards.
+distributed, and a source with a third of all rows is many shards. The tables of sources and of shards are broadcast up
+to `SENT` rows, and joined by a shuffle beyond.
 
 Edge cases: size is the number of words, a null text has none; documents without words are taken 0 times; sources are
 ordered by code point, null last; a source without words has target 0; repeated rows are rows of their own; an empty
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, shared_path, text_of, words_in
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
-BLOCKS, LEAST_BLOCK, SHARD_WORDS, SHARDS = 1 << 17, 32, 1 << 22, 1 << 16
+BLOCKS, LEAST_BLOCK, SHARD_WORDS, SHARDS, SENT = 1 << 17, 32, 1 << 18, 1 << 16, 200_000
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, most: int = MOST) -> list[float]:
@@ -67,17 +69,18 @@ def apportion(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return out
 
 
-def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, seed: int = 17) -> DataFrame:
-    """From row_id, doc_id, source, size: those with source_size, target, taken and pieces (from, to, times: word numbers in the document)."""
+def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, seed: int = 17, shard_words: int = SHARD_WORDS, sent: int = SENT) -> DataFrame:
+    """From row_id, doc_id, source, size, h (a hash of the text): the first four with source_size, target, taken and pieces (from, to, times: word numbers in the document)."""
     spark = rows.sparkSession
     sources = sorted(((r.source, r.words) for r in rows.groupBy("source").agg(F.sum("size").alias("words")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [int(x[1] or 0) for x in sources]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
     total = sum(sizes)
-    block, per_shard = max(LEAST_BLOCK, total // BLOCKS), max(SHARD_WORDS, total // SHARDS)
+    block, per_shard = max(LEAST_BLOCK, total // BLOCKS), max(shard_words, total // SHARDS)
+    side = lambda df, n: F.broadcast(df) if n <= sent else df
     table = pa.table({"s_source": pa.array([x[0] for x in sources], pa.string()), "no": pa.array(range(len(sources)), pa.int32()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(goal, pa.float64()), "n_shards": pa.array([-(-s // per_shard) or 1 for s in sizes], pa.int64())})
-    rows = rows.join(F.broadcast(spark.createDataFrame(table)), F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")))
+    rows = rows.join(side(spark.createDataFrame(table), len(sources)), F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), F.col("n_shards")))
 
     shards = rows.groupBy("no", "shard").agg(F.sum("size").alias("words")).where("words > 0").collect()
     shards.sort(key=lambda r: (r.no, r.shard))
@@ -87,8 +90,8 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fractio
     votes = np.array([g * n / s if s else 0.0 for g, s, n in zip(goal, sizes, of_source, strict=True)])
     quota = apportion(votes, int(np.rint(votes.sum())), most * of_source)
     quotas = np.zeros(len(shards), np.int64)
-    for i in range(len(sources)):
-        if (at := np.flatnonzero(no == i)).size:
+    for i, at in enumerate(map(slice, *np.searchsorted(no, [range(len(sources)), range(1, len(sources) + 1)]))):
+        if at.start < at.stop:
             quotas[at] = apportion(blocks[at], int(quota[i]), most * blocks[at])
 
     plan = spark.createDataFrame(pa.table({"b_no": pa.array(no, pa.int32()), "b_shard": pa.array([r.shard for r in shards], pa.int64()), "words": words, "blocks": blocks, "quota": quotas}))
@@ -97,9 +100,9 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fractio
     times = F.expr("quota div blocks") + F.when(rank <= F.col("quota") % F.col("blocks"), 1).otherwise(0)
     each = each.select("b_no", "b_shard", "block", F.expr("block * words div blocks").alias("b_from"), F.expr("(block + 1) * words div blocks").alias("b_to"), times.alias("times"))
 
-    upto = Window.partitionBy("no", "shard").orderBy("doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("no", "shard").orderBy("doc_id", "h", "row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum("size").over(upto)).withColumn("start", F.col("end") - F.col("size"))
-    sized = F.broadcast(plan.select(F.col("b_no").alias("p_no"), F.col("b_shard").alias("p_shard"), "words", "blocks"))
+    sized = side(plan.select(F.col("b_no").alias("p_no"), F.col("b_shard").alias("p_shard"), "words", "blocks"), len(shards))
     in_blocks = rows.where("size > 0").join(sized, (F.col("no") == F.col("p_no")) & (F.col("shard") == F.col("p_shard")))
     in_blocks = in_blocks.withColumn("block", F.explode(F.expr("sequence(((start + 1) * blocks - 1) div words, (end * blocks - 1) div words)")))
     cutting = in_blocks.drop("words", "blocks").join(each.withColumnRenamed("block", "b_block"), (F.col("no") == F.col("b_no")) & (F.col("shard") == F.col("b_shard")) & (F.col("block") == F.col("b_block")))
@@ -112,7 +115,7 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fractio
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """What the mix takes of each row of docs; see mix_rows()."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text_of(text_col)).alias("size")).withColumn("row_id", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text_of(text_col)).alias("size"), F.xxhash64(text_of(text_col)).alias("h")).withColumn("row_id", F.monotonically_increasing_id())
     return mix_rows(cut(rows), **options)
 
 
@@ -123,7 +126,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, at = docs.sparkSession, shared_path(docs.sparkSession, "mix")
     docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id")).write.parquet(at)
     kept = spark.read.parquet(at)
-    rows = kept.select("row_id", F.col(f"row.{id_col}").alias("doc_id"), F.col(f"row.{source_col}").alias("source"), words_in(text_of(F.col(f"row.{text_col}"))).alias("size"))
+    rows = kept.select("row_id", F.col(f"row.{id_col}").alias("doc_id"), F.col(f"row.{source_col}").alias("source"), words_in(text_of(F.col(f"row.{text_col}"))).alias("size"), F.xxhash64(text_of(F.col(f"row.{text_col}"))).alias("h"))
     took = mix_rows(cut(rows), **options).where("taken > 0").select(F.col("row_id").alias("t_id"), "size", "pieces")
     both = kept.join(took, F.col("row_id") == F.col("t_id"))
     most = F.array_max(F.transform("pieces", lambda p: p.times))
