@@ -8,29 +8,36 @@ one character per id instead and merge all occurrences of the lowest pair at onc
 can make a pair of lower rank, as each token has one split) in far fewer and linear steps.
 
 All distinct words of all texts are counted; the commonest (at most `dictionary` words, by a cut in the counts) are
-folded once each and become a literal, too, which bounds it; the words of a text are looked up there, and only what
-isn't in it is folded in place. So texts are never exploded and shuffled for encoding: each row is encoded where it is
-read. Decoding joins the bytes of the ids.
-
-Edge cases: null and empty texts have no ids and decode to no bytes; repeated rows and null ids of documents are rows
-like others; an empty table gives no row; other columns are carried along. Pieces are split by java.util.regex with
-Unicode classes, so letters and digits added to Unicode after the JVM's version count as neither.
+folded once each and broadcast, which bounds what is sent whatever the corpus; the words of a text are looked up there
+in Arrow batches, and the fold runs on those of a row that aren't in it. So `dictionary` is a matter of memory only, and
+texts are never exploded and shuffled for encoding: each row is encoded where it is read. Decoding joins the bytes of
+the ids.
+
+Edge cases: null and empty texts have no ids and decode to no bytes; a very long text is taken in pieces; repeated rows
+and null ids of documents are rows like others; an empty table gives no row; other columns are carried along. Words are
+counted by java.util.regex and looked up by the regex library, whose tables of Unicode may be newer: a word that only
+the latter sees is folded, so the result is its.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import uuid
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import regex as rx
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
 from .common import cut, documents, text_of
 
-DICTIONARY, SLOTS, HOT_SLOTS, LONG = 500_000, 1 << 19, 1 << 14, 96
+DICTIONARY, LONG, PART, ROWS, MISSING = 800_000, 96, 1 << 16, 1000, "?"
 NO_RANK = 1 << 17
 
 
@@ -73,14 +80,10 @@ def literal(values: list, element: str) -> Column:
     """A constant array as one literal in Spark's compact binary form, which all places of a plan share: a from_json() of
     a string would be parsed, boxed and printed in each place."""
     spark = SparkSession.getActiveSession()
-    return only_values(spark.range(0, 1, 1, 1).select(F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), f"array<{element}>").alias("x")))[0]
-
-
-def only_values(made: DataFrame) -> list[Column]:
-    """The arrays in the only row of a small table, as such literals."""
-    jvm, row = made.sparkSession.sparkContext._jvm, made._jdf.queryExecution().executedPlan().executeCollect()[0]
-    lit = jvm.org.apache.spark.sql.catalyst.expressions.Literal
-    return [ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(lit(row.getArray(k).copy(), made._jdf.schema().apply(k).dataType()))) for k in range(len(made.columns))]
+    made = spark.range(0, 1, 1, 1).select(F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), f"array<{element}>").alias("x"))
+    jvm, row = spark.sparkContext._jvm, made._jdf.queryExecution().executedPlan().executeCollect()[0]
+    value = jvm.org.apache.spark.sql.catalyst.expressions.Literal(row.getArray(0).copy(), made._jdf.schema().apply(0).dataType())
+    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(value))
 
 
 def bind(value: Column, use) -> Column:
@@ -213,45 +216,74 @@ def common_words(docs: DataFrame, most: int, text_col: str = "text", regex: str
     return words.where(F.col("level") >= (least if least is not None else 1 << 30)).select("word", "n")
 
 
-def slot(word: Column, slots: int) -> Column:
-    return F.xxhash64(word).bitwiseAND(slots - 1).cast("int")
-
-
-def field(name: str):
-    return lambda r: r[name]
-
-
-def tables(words: DataFrame, slots: int, deep: int) -> list[Column]:
-    """Literal tables word, ids (word, ids, ... for `deep` words a slot) of word, ids, n; the commonest words of a slot are in."""
-    by_slot = Window.partitionBy("slot").orderBy(F.desc("n"), "word")
-    words = words.withColumn("slot", slot(F.col("word"), slots)).withColumn("k", F.row_number().over(by_slot)).where(F.col("k") <= deep)
-    names = [f"{c}{k}" for k in range(1, deep + 1) for c in ("word", "ids")]
-    cells = words.groupBy("slot").agg(*(F.max(F.when(F.col("k") == int(c[-1]), F.col(c[:-1]))).alias(c) for c in names))
-    every = words.sparkSession.range(slots).join(cells, F.col("id") == F.col("slot"), "left")
-    one = every.agg(F.array_sort(F.collect_list(F.struct("id", *names))).alias("x"))
-    return only_values(one.select(*(F.transform("x", field(c)).alias(c) for c in names)))
-
-
-def dictionary_of(words: DataFrame, v: Vocabulary):
-    """An expression for a word's ids: a small table of the very common words first, then a large one, then the fold."""
-    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = cut(words.withColumn("ids", v.fold(F.col("word"))))
-    (w0, e0), (w1, e1, w2, e2) = tables(words, HOT_SLOTS, 1), tables(words, SLOTS, 2)
-
-    def ids_of(word: Column) -> Column:
-        hot = F.xxhash64(word).bitwiseAND(HOT_SLOTS - 1)  # twice is cheaper than binding it
-        rest = bind(F.xxhash64(word).bitwiseAND(SLOTS - 1), lambda s: F.when(F.get(w1, s) == word, F.get(e1, s)).when(F.get(w2, s) == word, F.get(e2, s)).otherwise(v.fold(word)))
-        return F.when(F.get(w0, hot) == word, F.get(e0, hot)).otherwise(rest)
-
-    return ids_of
-
-
-def encode_documents(docs: DataFrame, path: str | None = None, regex: str | None = None, dictionary: int = DICTIONARY, text_col: str = "text") -> DataFrame:
-    """Columns row (all of docs, as a struct), ids_text (decimals joined by spaces) and parts (the same as array<string>);
-    ids_of(parts) are the ids as array<int>."""
-    v, text = vocabulary(path), text_of(text_col)
-    encoded = dictionary_of(common_words(docs, dictionary, text_col, regex), v)
-    out = docs.select(F.struct("*").alias("row"), F.array_join(F.transform(pieces(text, regex), encoded), " ").alias("ids_text"))
+class Known(dict):
+    """Ids by word; a word without them is put down in `missing`."""
+
+    missing: list[str]
+
+    def __missing__(self, word: str) -> str:
+        self.missing.append(word)
+        return MISSING
+
+    def look_up(self, words: Iterable[str]) -> str:
+        """Ids of the words, joined by spaces, with MISSING for those that aren't known."""
+        return " ".join(map(self.__getitem__, words))
+
+
+_known: dict[str, Known] = {}
+
+
+def known(key: str, sent) -> Known:
+    """The broadcast dictionary in this Python worker, which keeps the last one."""
+    if key not in _known:
+        _known.clear()
+        with pa.ipc.open_stream(sent.value) as stream:
+            table = stream.read_all()
+        _known[key] = Known(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
+    return _known[key]
+
+
+def looked_up(docs: DataFrame, words: DataFrame, row: Column, text: Column, regex: str) -> DataFrame:
+    """row, partial (see Known) and missing of each row of docs; words: word, ids."""
+    spark = docs.sparkSession
+    table, sink = words.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    sent, key = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+    del table, sink
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, compiled = known(key, sent), rx.compile(regex)
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                partial, missing = [], []
+                for t in batch.column("text").to_pylist():
+                    ids.missing = []
+                    if len(t) <= 4 * PART:
+                        partial.append(ids.look_up(compiled.findall(t)))
+                    else:
+                        matches = (m[0] for m in compiled.finditer(t))
+                        partial.append(" ".join(iter(lambda: ids.look_up(islice(matches, PART)), "")))  # noqa: B023
+                    missing.append(ids.missing)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(partial, pa.string()), pa.array(missing, pa.list_(pa.string()))], names=["row", "partial", "missing"])
+
+    src = docs.select(row.alias("row"), text.alias("text"))
+    kind = src.schema["row"].dataType.simpleString()
+    return src.mapInArrow(go, f"row {kind}, partial string, missing array<string>")
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, regex: str | None = None, dictionary: int = DICTIONARY, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Columns row (those of docs that are to be kept, all by default, as a struct), ids_text (decimals joined by spaces)
+    and parts (the same as array<string>); ids_of(parts) are the ids as array<int>."""
+    v, text, regex = vocabulary(path), text_of(text_col), regex or pattern()
+    words = common_words(docs, dictionary, text_col, regex).select("word")
+    words = words.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = words.select("word", v.fold(F.col("word")).alias("ids"))
+    out = looked_up(docs, words, F.struct(*(keep or ["*"])), text, regex)
+    spread = F.zip_with(F.split("partial", r"\?", -1), F.transform("missing", v.fold), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    ids_text = F.when(F.size("missing") == 0, F.col("partial")).otherwise(F.array_join(spread, ""))
+    out = out.select("row", ids_text.alias("ids_text"))
     parts = F.when(F.col("ids_text") == "", F.array().cast("array<string>")).otherwise(F.split("ids_text", " "))
     return out.select("row", "ids_text", parts.alias("parts"))
 
@@ -271,7 +303,7 @@ def digests(encoded: DataFrame, path: str | None = None, more: tuple[str, ...] =
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode_documents(documents(spark, sf_dir)))
+    return digests(encode_documents(documents(spark, sf_dir), keep=("doc_id",)))
 
 
 QUERIES = {"op7_bpe": op7_bpe}
