@@ -45,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, and the digests of the ids and of the bytes decoded from them."""
-    encoded = encode_documents(docs)
+    encoded = encode_documents(docs, keep=("doc_id", "source"))
     return digests(encoded, more=("source", "ids"))
 
 
