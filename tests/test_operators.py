@@ -142,7 +142,7 @@ def test_metrics(spark):
     assert got["m"].wer == 1 and got["m"].avg_logprob == 0 and got["m"].avg_segment_duration == 0
     rows = spark.createDataFrame([("a", "xy", "xyz"), ("a", "", "q"), ("b", "", "")], "job_id string, source_text string, translated_text string")
     out = sorted(map(tuple, M.evaluate_translations(rows, spark.createDataFrame([("a",), ("b",), ("c",)], "job_id string")).collect()))
-    assert out == [("a", 2, 1.0, 2.0, 2.0), ("b", 1, 0.0, 0.0, 1.0), ("c", 0, 0.0, 0.0, 1.0)]
+    assert out == [("a", 2, 2, 4, 1.0, 2.0, 2.0), ("b", 1, 0, 0, 0.0, 0.0, 1.0), ("c", 0, 0, 0, 0.0, 0.0, 1.0)]
     nan = spark.createDataFrame([(float("nan"),), (None,), (2.0,)], "x double")
     assert nan.agg(M.mean_or_zero(F.col("x"))).first()[0] == 2.0
 

@@ -27,12 +27,13 @@ def evaluate_transcripts(segments: DataFrame, references: DataFrame) -> DataFram
 
 
 def evaluate_translations(translated: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """job_id, num_segments, mean lengths in code points, and the ratio of their sums (1.0 if there is no source text)."""
+    """job_id, num_segments, lengths in code points in all and in the mean, and the ratio of their sums (1.0 if there is no
+    source text)."""
     s, t = F.char_length("source_text"), F.char_length("translated_text")
-    own = translated.groupBy("job_id").agg(F.count(F.lit(1)).alias("num_segments"), F.avg(s).alias("avg_source_length"), F.avg(t).alias("avg_target_length"), F.expr("try_divide(sum(char_length(translated_text)), nullif(sum(char_length(source_text)), 0))").alias("expansion_ratio"))
+    own = translated.groupBy("job_id").agg(F.count(F.lit(1)).alias("num_segments"), F.sum(s).alias("total_source_chars"), F.sum(t).alias("total_target_chars"), F.avg(s).alias("avg_source_length"), F.avg(t).alias("avg_target_length"), F.expr("try_divide(sum(char_length(translated_text)), nullif(sum(char_length(source_text)), 0))").alias("expansion_ratio"))
     if jobs is not None:
         own = jobs.select("job_id").distinct().join(own, "job_id", "left")
-    return own.select("job_id", *(F.coalesce(c, F.lit(d)).alias(c) for c, d in (("num_segments", 0), ("avg_source_length", 0.0), ("avg_target_length", 0.0), ("expansion_ratio", 1.0))))
+    return own.select("job_id", *(F.coalesce(c, F.lit(d)).alias(c) for c, d in (("num_segments", 0), ("total_source_chars", 0), ("total_target_chars", 0), ("avg_source_length", 0.0), ("avg_target_length", 0.0), ("expansion_ratio", 1.0))))
 
 
 def stage_metrics(chunks: DataFrame, sample_rate: int = 16000, channels: int = 1) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.schemas import valid_status
 
 
+INVALID = "Input validation failed."
+
+
 def audio_streams(streams: Column) -> Column:
     return F.filter(streams, lambda s: s.codec_type == "audio")
 
@@ -22,7 +25,7 @@ def is_valid_media(size: Column, streams: Column, duration: Column) -> Column:
 def split_valid(probes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and a FAILED stage result for each of the others."""
     ok = is_valid_media(F.col("size"), F.col("streams"), F.col("duration"))
-    refused = probes.where(~ok).select("job_id", *stage_result("preprocess", "failed", error=F.lit("Input validation failed.")))
+    refused = probes.where(~ok).select("job_id", *stage_result("preprocess", "failed", error=F.lit(INVALID)))
     return probes.where(ok), refused
 
 
@@ -42,6 +45,16 @@ def missing_files(bundles: DataFrame, files: DataFrame, required: tuple[str, ...
     return wanted.join(files.select("job_id", "file").distinct(), ["job_id", "file"], "left_anti")
 
 
+def is_version(version: Column, wanted: str = "1.0") -> Column:
+    """Whether the version is the wanted one; a missing one isn't."""
+    return F.coalesce(version == wanted, F.lit(False))
+
+
+def unsupported(version: Column) -> Column:
+    """What is said of a version that isn't the wanted one."""
+    return F.concat(F.lit("Unsupported bundle version: "), F.coalesce(version, F.lit("None")))
+
+
 def version_checked(version: Column, wanted: str = "1.0") -> Column:
     """The version, or an error if it isn't the wanted one or is missing."""
-    return F.when(version == wanted, version).otherwise(F.raise_error(F.concat(F.lit("Unsupported bundle version: "), F.coalesce(version, F.lit("None")))))
+    return F.when(is_version(version, wanted), version).otherwise(F.raise_error(unsupported(version)))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schemas import ASR_OUTPUT, ASR_SEGMENT
-from ..sources.media import probe_wav, wav_bytes
+from ..operators.validation import stage_result
+from ..sources.bundles import load_bundles, read_results, request_documents, result_documents
+from ..sources.media import probe_wav, wav_bytes, write_files
+from ..sources.shared import written_once
 
 
 class InferenceBackend(Protocol):
@@ -33,12 +37,24 @@ class Synthesiser(Protocol):
     def synthesise(self, text: str, speaker: object, language: str) -> np.ndarray: ...
 
 
+class ExternalSynthesis(Protocol):
+    """A synthesiser that runs elsewhere: requests go out, results come back."""
+
+    def export_requests(self, requests: DataFrame) -> DataFrame: ...
+    def import_results(self, spark: SparkSession) -> DataFrame: ...
+
+
 _loaded: dict[str, object] = {}
 
 
+def settings(backend) -> str:
+    """What tells a backend's model from others: its class and all of its settings."""
+    return repr((type(backend).__qualname__, sorted((k, v) for k, v in vars(backend).items() if k != "ready")))
+
+
 def loaded(backend):
     """The backend, loaded: the same one for all tasks of a worker."""
-    key = repr((type(backend).__qualname__, sorted(vars(backend).items(), key=lambda x: x[0])))
+    key = settings(backend)
     if key not in _loaded:
         backend.load()
         _loaded[key] = backend
@@ -72,12 +88,12 @@ class WhisperRecogniser:
     def load(self) -> None:
         from faster_whisper import WhisperModel  # optional
 
-        _loaded[f"whisper {self.model}"] = WhisperModel(self.model, device=self.device, compute_type=self.compute_type)
+        _loaded[f"model of {settings(self)}"] = WhisperModel(self.model, device=self.device, compute_type=self.compute_type)
 
     def transcribe(self, audio: bytes) -> tuple[list[dict], tuple[str, float]]:
         import io
 
-        model = _loaded.get(f"whisper {self.model}")
+        model = _loaded.get(f"model of {settings(self)}")
         if model is None:
             raise RuntimeError("Model not loaded.")
         segments, info = model.transcribe(io.BytesIO(audio), language=None if self.language == "auto" else self.language)
@@ -139,10 +155,12 @@ class SequenceTranslator:
     def load(self) -> None:
         from transformers import AutoModelForSeq2SeqLM, AutoTokenizer  # optional
 
-        _loaded[f"translate {self.model}"] = (AutoTokenizer.from_pretrained(self.model, trust_remote_code=True), AutoModelForSeq2SeqLM.from_pretrained(self.model, trust_remote_code=True).to(self.device).eval())
+        _loaded[f"model of {settings(self)}"] = (AutoTokenizer.from_pretrained(self.model, trust_remote_code=True), AutoModelForSeq2SeqLM.from_pretrained(self.model, trust_remote_code=True).to(self.device).eval())
 
     def translate(self, prompts: list[str], texts: list[str], source: list[str], target: list[str]) -> list[str]:
-        tokenizer, model = _loaded[f"translate {self.model}"]
+        if f"model of {settings(self)}" not in _loaded:
+            raise RuntimeError("Model not loaded.")
+        tokenizer, model = _loaded[f"model of {settings(self)}"]
         known = getattr(tokenizer, "lang_code_to_id", {})
         out: list[str] = [""] * len(prompts)
         for tag in set(target):  # the first token is forced per target language
@@ -155,9 +173,9 @@ class SequenceTranslator:
 
 
 class ToneSynthesiser:
-    """Deterministic: a tone of 50 ms per character."""
+    """Deterministic: a tone of 50 ms per character; temperature bends it, so that a test can see it arrive."""
 
-    def __init__(self, rate: int = 24000, temperature: float | None = None):
+    def __init__(self, rate: int = 24000, temperature: float = 0.7):
         self.rate, self.temperature = rate, temperature
 
     def load(self) -> None:
@@ -168,36 +186,120 @@ class ToneSynthesiser:
 
     def synthesise(self, text: str, speaker: object, language: str) -> np.ndarray:
         n = max(1, len(text)) * self.rate // 20
-        return 8000 * np.sin(2 * np.pi * float(speaker) * np.arange(n) / self.rate)
+        return 8000 * np.sin(2 * np.pi * (float(speaker) + self.temperature) * np.arange(n) / self.rate)
+
+
+class VoiceCloner:
+    """Adapter for an optional voice-cloning model of the TTS package."""
+
+    def __init__(self, model: str = "tts_models/multilingual/multi-dataset/xtts_v2", device: str = "cuda", temperature: float = 0.7):
+        self.model, self.device, self.temperature = model, device, temperature
 
+    def load(self) -> None:
+        from TTS.api import TTS  # optional
+
+        _loaded[f"model of {settings(self)}"] = TTS(self.model).to(self.device)
+
+    def _own(self):
+        if (model := _loaded.get(f"model of {settings(self)}")) is None:
+            raise RuntimeError("Model not loaded.")
+        return model.synthesizer.tts_model
+
+    def speaker(self, reference: bytes) -> object:
+        import tempfile
+
+        with tempfile.NamedTemporaryFile(suffix=".wav") as f:  # the model reads a path; gone when it has been read
+            f.write(reference)
+            f.flush()
+            return self._own().get_conditioning_latents(audio_path=[f.name])
+
+    def synthesise(self, text: str, speaker: object, language: str) -> np.ndarray:
+        import torch
 
-def synthesise(requests: DataFrame, references: DataFrame, backend: Synthesiser) -> DataFrame:
-    """A row per requested segment: job_id, segment_id, chunk_id, audio_path, duration, content. Names hold chunk and
-    segment, so segments of a chunk don't overwrite each other. The voice is worked out once per job and batch."""
-    rows = requests.select("job_id", "language", "output_sample_rate", F.explode("segments").alias("s")).join(references.select("job_id", F.col("content").alias("voice")), "job_id")
-    rows = rows.select("job_id", "language", F.col("output_sample_rate").alias("rate"), "s.segment_id", "s.chunk_id", "s.text", "voice")
+        latent, embedding = speaker
+        with torch.no_grad():
+            out = self._own().inference(text=text, language=language, gpt_cond_latent=latent, speaker_embedding=embedding, temperature=self.temperature)
+        return np.asarray(out["wav"], np.float64) * 32767
+
+
+SPOKEN = "job_id string, segment_id long, chunk_id long, audio_path string, duration double, content binary, error string, seconds double"
+
+
+def synthesise(requests: DataFrame, references: DataFrame, backend: Synthesiser, at_once: int = 64) -> DataFrame:
+    """A row per requested segment: job_id, segment_id, chunk_id, audio_path, duration, content, error, seconds. Names hold
+    chunk and segment, so segments of a chunk don't overwrite each other. A job's segments go in groups of `at_once`, each
+    with the job's voice, which is worked out once per group; a segment that fails is a row with its error."""
+    groups = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("segments") / at_once).cast("int") - 1, F.lit(0)))
+    rows = requests.select("job_id", "language", F.col("output_sample_rate").alias("rate"), "segments", F.explode(groups).alias("k"))
+    rows = rows.select("job_id", "language", "rate", "k", F.slice("segments", F.col("k") * at_once + 1, F.lit(at_once)).alias("segments"))
+    rows = rows.join(references.select("job_id", F.col("content").alias("voice")), "job_id").repartition("job_id", "k")
+    names = [x.split()[0] for x in SPOKEN.split(", ")]
+    kinds = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.binary(), pa.string(), pa.float64()), strict=True)))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, voices = loaded(backend), {}
+        own = loaded(backend)
         for b in batches:
-            for r in b.to_pylist():
-                if r["job_id"] not in voices:
-                    voices = {r["job_id"]: own.speaker(r["voice"])}  # only the last job's is kept
-                x = own.synthesise(r["text"], voices[r["job_id"]], r["language"])
-                name = f"chunk_{r['chunk_id']:04d}_seg_{r['segment_id']:06d}.wav"
-                yield pa.RecordBatch.from_pydict({"job_id": [r["job_id"]], "segment_id": [r["segment_id"]], "chunk_id": [r["chunk_id"]], "audio_path": [f"output/{name}"], "duration": [len(x) / r["rate"]], "content": [wav_bytes(x, r["rate"])]})
-
-    return rows.mapInArrow(go, "job_id string, segment_id long, chunk_id long, audio_path string, duration double, content binary")
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                speaker = own.speaker(r["voice"])
+                for x in r["segments"] or []:
+                    began = time.perf_counter()
+                    row = {"job_id": r["job_id"], "segment_id": x["segment_id"], "chunk_id": x["chunk_id"], "audio_path": f"output/chunk_{x['chunk_id']:04d}_seg_{x['segment_id']:06d}.wav"}
+                    try:
+                        made = own.synthesise(x["text"], speaker, r["language"])
+                        row |= {"duration": len(made) / r["rate"], "content": wav_bytes(made, r["rate"])}
+                    except Exception as e:  # this segment's failure, not the job's others'
+                        row["error"] = f"{type(e).__name__}: {e}"
+                    yield pa.RecordBatch.from_pylist([row | {"seconds": time.perf_counter() - began}], schema=kinds)
+
+    return rows.select("job_id", "language", "rate", "segments", "voice").mapInArrow(go, SPOKEN)
 
 
 def results_of(synthesised: DataFrame, sample_rate: int = 24000) -> DataFrame:
-    """Synthesis results, one row per job."""
+    """Synthesis results, one row per job, of the segments that could be synthesised."""
     segment = F.struct("segment_id", "chunk_id", "audio_path", "duration")
-    return synthesised.groupBy("job_id").agg(F.array_sort(F.collect_list(segment)).alias("segments")).select("job_id", F.lit(sample_rate).cast("long").alias("sample_rate"), "segments")
+    done = F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), segment)))
+    return synthesised.groupBy("job_id").agg(done.alias("segments")).select("job_id", F.lit(sample_rate).cast("long").alias("sample_rate"), "segments")
+
+
+def stage_results_of(synthesised: DataFrame) -> DataFrame:
+    """A stage result per job: failed where a segment is, with counts and the time taken."""
+    totals = synthesised.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad"), F.min("error").alias("why"), F.sum("seconds").alias("seconds"))
+    metrics = F.create_map(F.lit("num_segments"), F.col("n").cast("double"), F.lit("failed_segments"), F.col("bad").cast("double"), F.lit("latency_seconds"), F.col("seconds"))
+    path = F.concat("job_id", F.lit("/output/synthesis_result.json"))
+    done = totals.where("bad = 0").select("job_id", *stage_result("tts", "done", output=path, metrics=metrics))
+    return done.unionByName(totals.where("bad > 0").select("job_id", *stage_result("tts", "failed", metrics=metrics, error=F.col("why"))))
+
+
+def run_bundles(spark: SparkSession, root: str, backend: Synthesiser) -> DataFrame:
+    """The worker: loads and checks the bundles below root, synthesises their segments, writes the audio and a result
+    document into each bundle's output folder, and returns a stage result per job."""
+    bundles = load_bundles(spark, root, audio=True)
+    made = written_once(synthesise(bundles, bundles.select("job_id", F.col("reference_audio").alias("content")), backend), "synthesised")
+    rate = bundles.select("job_id", F.col("output_sample_rate").alias("rate"))
+    results = results_of(made).join(rate, "job_id").withColumn("sample_rate", F.col("rate"))
+    documents = result_documents(results).select("job_id", F.lit("output/synthesis_result.json").alias("path"), F.col("json").cast("binary").alias("content"))
+    write_files(made.where("content is not null").select("job_id", F.col("audio_path").alias("path"), "content").unionByName(documents), root).count()
+    return stage_results_of(made)
+
+
+class FolderExchange:
+    """Requests and results as documents below a folder that all executors have mounted: job_id/synthesis_request.json out,
+    job_id/synthesis_result.json in."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def export_requests(self, requests: DataFrame) -> DataFrame:
+        """Writes the requests; a pending stage result per job until its result is there."""
+        files = request_documents(requests).select("job_id", F.lit("synthesis_request.json").alias("path"), F.col("json").cast("binary").alias("content"))
+        write_files(files, self.root).count()
+        return submitted(requests)
+
+    def import_results(self, spark: SparkSession) -> DataFrame:
+        return read_results(spark, f"{self.root}/*/synthesis_result.json")
 
 
 def submitted(requests: DataFrame) -> DataFrame:
     """What an external synthesiser leaves behind: a pending row per job, until its result comes back."""
-    from ..operators.validation import stage_result
-
     return requests.select("job_id", *stage_result("tts", "pending"))

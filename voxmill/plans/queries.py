@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,11 @@ from ..operators import metrics as M
 from ..operators import segments as S
 from ..operators import transcripts as R
 from ..operators import validation as V
+from ..sources import bundles as D
+from ..sources.media import wav_bytes, write_files
+from ..sources.shared import work_folder
+from . import backends as B
+from . import stages as P
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,11 +67,12 @@ SQL_PAIRS = "SELECT conv_id AS job_id, turn AS chunk_id, coalesce(text, '') AS t
 
 @query("""
 SELECT conv_id AS job_id, count(*) FILTER (role = 'assistant') AS n_audio_streams, round(sum(length(coalesce(text, ''))) / 15.0, 6) AS duration,
-  count(*) FILTER (role = 'assistant') > 0 AND sum(length(coalesce(text, ''))) > 0 AS valid
+  count(*) FILTER (role = 'assistant') > 0 AND sum(length(coalesce(text, ''))) > 0 AND conv_id % 7 <> 0 AS valid
 FROM conversations GROUP BY conv_id""")
 def media_validation(spark, sf_dir):
     stream = F.struct(F.when(F.col("role") == "assistant", "audio").otherwise("video").alias("codec_type"))
-    probes = turns(spark, sf_dir).groupBy("job_id").agg(F.collect_list(stream).alias("streams"), (F.sum(F.char_length("text")) / 15.0).alias("duration"), F.lit(1).alias("size"))
+    probes = turns(spark, sf_dir).groupBy("job_id").agg(F.collect_list(stream).alias("streams"), (F.sum(F.char_length("text")) / 15.0).alias("duration"))
+    probes = probes.withColumn("size", F.when(F.col("job_id") % 7 != 0, 1).otherwise(0))  # every seventh file is empty
     return probes.select("job_id", F.size(V.audio_streams(F.col("streams"))).cast("long").alias("n_audio_streams"), F.round("duration", 6).alias("duration"), V.is_valid_media(F.col("size"), F.col("streams"), F.col("duration")).alias("valid"))
 
 
@@ -83,10 +93,21 @@ def missing_bundle_files(spark, sf_dir):
     return V.missing_files(docs, docs, ("de", "en", "es", "fr", "hi"))
 
 
-@query("SELECT conv_id AS job_id, turn AS chunk_id, '1.0' AS bundle_version FROM conversations")
+@query("""
+SELECT conv_id AS job_id, turn AS chunk_id, turn % 4 < 2 AS accepted,
+  CASE turn % 4 WHEN 2 THEN 'Unsupported bundle version: 2.0' WHEN 3 THEN 'Unsupported bundle version: None' END AS error FROM conversations""")
 def version_gate(spark, sf_dir):
-    doc = F.to_json(F.struct(F.struct(F.lit("1.0").alias("bundle_version"), F.col("job_id").cast("string").alias("job_id")).alias("metadata")))
-    return turns(spark, sf_dir).select("job_id", "chunk_id", V.version_checked(F.get_json_object(doc, "$.metadata.bundle_version")).alias("bundle_version"))
+    # of four manifests, two have the version, one another and one none
+    version = F.when(F.col("chunk_id") % 4 < 2, "1.0").when(F.col("chunk_id") % 4 == 2, "2.0")
+    doc = F.to_json(F.struct(F.struct(version.alias("bundle_version"), F.col("job_id").cast("string").alias("job_id")).alias("metadata")))
+    found = F.get_json_object(doc, "$.metadata.bundle_version")
+    return turns(spark, sf_dir).select("job_id", "chunk_id", V.is_version(found).alias("accepted"), F.when(~V.is_version(found), V.unsupported(found)).alias("error"))
+
+
+@query("SELECT user_id AS job_id, event_type AS stage_name, max(event_id)::INTEGER AS attempt, CASE WHEN arg_max(value, event_id) < 50 THEN 'failed' ELSE 'done' END AS status FROM events GROUP BY ALL")
+def latest_attempts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage_name"), F.when(F.col("value") < 50, "failed").otherwise("done").alias("status"), F.create_map(F.lit("value"), "value").alias("metrics"), F.col("event_id").cast("int").alias("attempt"))
+    return P.latest_attempt(rows).select("job_id", "stage_name", "attempt", "status")
 
 
 # -- segmentation -------------------------------------------------------------------------------------------------
@@ -169,6 +190,88 @@ def chunk_manifest(spark, sf_dir):
     return rows.select("job_id", "chunk_id", "chunk_path", F.round("start_ts", 6).alias("start_ts"), F.round("end_ts", 6).alias("end_ts"))
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, n_chars / 15.0 AS total FROM documents)
+SELECT doc_id, printf('chunk_%04d.wav', i) AS chunk_path, round(start_ts::DOUBLE, 6) AS start_ts, round(end_ts::DOUBLE, 6) AS end_ts FROM ({SQL_WINDOWS}) WHERE i < doc_id % 5""")
+def paired_manifest(spark, sf_dir):
+    # of each recording 0 to 4 chunks were cut
+    paths = F.transform(F.slice(F.sequence(F.lit(0), F.lit(4)), F.lit(1), (F.col("doc_id") % 5).cast("int")), T.chunk_name)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(S.paired(paths, S.fixed_windows(F.col("n_chars") / 15.0))).alias("s"))
+    return rows.select("doc_id", "s.chunk_path", F.round("s.start_ts", 6).alias("start_ts"), F.round("s.end_ts", 6).alias("end_ts"))
+
+
+# -- files --------------------------------------------------------------------------------------------------------
+
+RATE = 8  # samples a second, so that a vector is a recording
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as WAV files (job_id, size, content) of 8 samples a second; every tenth is no media file."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("vec_id").to_pylist()
+            made = [b"broken" if i % 10 == 9 else wav_bytes(np.array(v.as_py(), np.float64) * 32767, RATE) for i, v in zip(ids, b.column("embedding"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids]), pa.array([len(x) for x in made], pa.int64()), pa.array(made, pa.binary())], names=["job_id", "size", "content"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(go, "job_id string, size long, content binary")
+
+
+SQL_SPEECH = """
+x AS (SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE * 32767 AS v, unnest(range(len(embedding))) AS pos FROM embeddings WHERE vec_id % 10 <> 9),
+q AS (SELECT vec_id, n, pos, pos - row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS run FROM x WHERE abs(least(greatest(round_even(v, 0), -32768), 32767)) < 32768 * pow(10, -1.5)),
+r AS (SELECT vec_id, n, min(pos) / 8.0 AS a, (max(pos) + 1) / 8.0 AS b FROM q GROUP BY vec_id, n, run HAVING count(*) >= 4),
+j AS (SELECT vec_id, len(embedding) / 8.0 AS total FROM embeddings WHERE vec_id % 10 <> 9),
+g AS (
+  SELECT vec_id, lag(b, 1, 0.0) OVER (PARTITION BY vec_id ORDER BY a) AS start_ts, a AS end_ts FROM r
+  UNION ALL SELECT j.vec_id, coalesce(max(b), 0.0), j.total FROM j LEFT JOIN r ON r.vec_id = j.vec_id GROUP BY j.vec_id, j.total),
+f AS (SELECT * FROM g WHERE end_ts - start_ts >= 0.25),
+speech AS (SELECT vec_id, start_ts, end_ts FROM f UNION ALL SELECT vec_id, 0.0, total FROM j WHERE vec_id NOT IN (SELECT vec_id FROM f))"""
+
+
+@query("SELECT vec_id::VARCHAR AS job_id, vec_id % 10 <> 9 AS valid, CASE WHEN vec_id % 10 <> 9 THEN len(embedding) / 8.0 END::DOUBLE AS duration FROM embeddings")
+def stage_validate(spark, sf_dir):
+    return P.Preprocess().validate(recordings(spark, sf_dir)).select("job_id", "valid", "duration")
+
+
+@query(f"""
+WITH {SQL_SPEECH}
+SELECT vec_id::VARCHAR AS job_id, 'done' AS status, NULL::VARCHAR AS error, count(*)::DOUBLE AS num_segments FROM speech GROUP BY vec_id
+UNION ALL SELECT vec_id::VARCHAR, 'failed', 'Input validation failed.', NULL FROM embeddings WHERE vec_id % 10 = 9""")
+def preprocess_stage(spark, sf_dir):
+    _, results = P.Preprocess().run(recordings(spark, sf_dir), P.Config(audio_sample_rate=RATE))
+    return results.select("job_id", "status", "error", F.try_element_at("metrics", F.lit("num_segments")).alias("num_segments"))
+
+
+@query(f"""
+WITH {SQL_SPEECH}, n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY start_ts) - 1 AS chunk_id FROM speech)
+SELECT vec_id::VARCHAR AS job_id, chunk_id, printf('chunk_%04d.wav', chunk_id) AS chunk_path, start_ts::DOUBLE AS start_ts, end_ts::DOUBLE AS end_ts, ((end_ts - start_ts) * 8)::BIGINT AS frames FROM n""")
+def chunk_audio(spark, sf_dir):
+    chunks, _ = P.Preprocess().run(recordings(spark, sf_dir), P.Config(audio_sample_rate=RATE))
+    return chunks.select("job_id", "chunk_id", "chunk_path", "start_ts", "end_ts", ((F.octet_length("content") - 44) / 2).cast("long").alias("frames"))
+
+
+def stored(docs: DataFrame, name: str) -> str:
+    """Writes a document per job (job_id, json) to a folder of its own, and returns their paths' pattern."""
+    path = work_folder(docs.sparkSession, name)
+    docs.write.mode("append").partitionBy("job_id").text(path)
+    return f"{path}/*/*.txt"
+
+
+def job_of(folder: str = "job_id"):
+    return F.regexp_replace(folder, "^job_id=", "").cast("long").alias("job_id")
+
+
+@query(f"""
+WITH {SQL_SEGMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_ts, end_ts) - 1 AS chunk_id FROM seg)
+SELECT job_id, chunk_id, printf('chunk_%04d.wav', chunk_id) AS chunk_path, round(start_ts, 6) AS start_ts, round(end_ts, 6) AS end_ts FROM n""")
+def manifest_files(spark, sf_dir):
+    """Manifests as JSON files of each job, and back: the chunk's number is the entry's place, the job its folder."""
+    rows = S.manifest_rows(S.speech_between_rows(silences(spark, sf_dir), "job_id", "s", "e", ["s", "event_id"], lambda w: F.max("e").over(w) + 10))
+    back = D.read_manifests(spark, stored(D.manifest_documents(rows), "manifests"))
+    return back.select(job_of(), "chunk_id", "chunk_path", F.round("start_ts", 6).alias("start_ts"), F.round("end_ts", 6).alias("end_ts"))
+
+
 # -- transcripts --------------------------------------------------------------------------------------------------
 
 SQL_TRANSCRIPT = """
@@ -216,11 +319,68 @@ def translation_prompt(spark, sf_dir):
 def synthesis_request(spark, sf_dir):
     """Requests as JSON documents, read back and flattened."""
     translated = transcript(spark, sf_dir).select(F.col("job_id").cast("string"), "segment_id", "chunk_id", "start_ts", "end_ts", F.concat(F.lit("[hi] "), "text").alias("translated_text"), F.lit("hi").alias("target_language"))
-    docs = R.synthesis_requests(translated, "voices/reference.wav").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    docs = D.request_documents(R.synthesis_requests(translated, "voices/reference.wav"))
     back = docs.select(parsed(F.col("json"), SYNTHESIS_REQUEST).alias("d")).select("d.*")
     return back.select(F.col("job_id").cast("long").alias("job_id"), "language", "output_sample_rate", F.explode("segments").alias("s")).select("job_id", "language", "output_sample_rate", "s.*")
 
 
+class Tagged:
+    """A translation as an expression: the text behind the tag of its language."""
+
+    def column(self, prompt, text, source, target):
+        return F.concat(F.lit("["), target, F.lit("] "), text)
+
+
+@query(f"""
+WITH {SQL_TRANSCRIPT}, t AS (SELECT *, CASE WHEN job_id % 2 = 0 THEN 'en' ELSE 'unknown' END AS source_language FROM tr)
+SELECT job_id, segment_id, chunk_id, start_ts::DOUBLE AS start_ts, end_ts::DOUBLE AS end_ts, text AS source_text, '[tam_Taml] ' || text AS translated_text, source_language, 'ta' AS target_language FROM t""")
+def translated_segments(spark, sf_dir):
+    heard = turns(spark, sf_dir).select("job_id", "chunk_id", F.when(F.col("job_id") % 2 == 0, "en").alias("language"), F.lit(0.5).alias("language_probability"))
+    return R.translate(transcript(spark, sf_dir), R.job_languages(heard), "ta", Tagged())
+
+
+def requests(spark: SparkSession, sf_dir: str, rate: int) -> DataFrame:
+    translated = transcript(spark, sf_dir).select(F.col("job_id").cast("string"), "segment_id", "chunk_id", "start_ts", "end_ts", F.col("text").alias("translated_text"), F.lit("hi").alias("target_language"))
+    return R.synthesis_requests(translated, "voices/reference.wav", rate)
+
+
+def stored_bundles(spark: SparkSession, sf_dir: str, rate: int = 200) -> str:
+    """Bundles of all jobs in a folder that is mounted everywhere."""
+    root = work_folder(spark, "bundles").removeprefix("file:")
+    asked = requests(spark, sf_dir, rate)
+    write_files(D.bundle_files(asked, asked.select("job_id", F.encode("job_id", "UTF-8").alias("content")), "2024-01-01T00:00:00Z"), root).count()
+    return root
+
+
+@query(f"""
+WITH {SQL_TRANSCRIPT}
+SELECT job_id, '1.0' AS bundle_version, 'hi' AS language, 200::BIGINT AS output_sample_rate, job_id::VARCHAR AS voice, count(*) AS n_segments, sha256(string_agg(text, chr(10) ORDER BY segment_id)) AS texts_sha256
+FROM tr GROUP BY job_id""")
+def bundle_files(spark, sf_dir):
+    """Bundles written, checked and read back, with the voice sample."""
+    back = D.load_bundles(spark, stored_bundles(spark, sf_dir), audio=True)
+    texts = F.array_join(F.transform("segments", lambda s: s.text), "\n")
+    return back.select(F.col("job_id").cast("long").alias("job_id"), "bundle_version", "language", "output_sample_rate", F.decode("reference_audio", "UTF-8").alias("voice"), F.size("segments").cast("long").alias("n_segments"), F.sha2(texts, 256).alias("texts_sha256"))
+
+
+@query(f"WITH {SQL_TRANSCRIPT} SELECT job_id, 'tts' AS stage_name, 'done' AS status, count(*)::DOUBLE AS num_segments, 0.0::DOUBLE AS failed_segments FROM tr GROUP BY job_id")
+def worker_run(spark, sf_dir):
+    """Bundles to results, by the worker and a synthesiser of tones."""
+    results = B.run_bundles(spark, stored_bundles(spark, sf_dir), B.ToneSynthesiser(200))
+    return results.select(F.col("job_id").cast("long").alias("job_id"), "stage_name", "status", *(F.element_at("metrics", F.lit(c)).alias(c) for c in ("num_segments", "failed_segments")))
+
+
+@query(f"""
+WITH {SQL_TRANSCRIPT}
+SELECT job_id, 200::BIGINT AS sample_rate, segment_id, chunk_id, printf('output/chunk_%04d_seg_%06d.wav', chunk_id, segment_id) AS audio_path, round(greatest(length(text), 1) * 0.05, 6)::DOUBLE AS duration FROM tr""")
+def result_files(spark, sf_dir):
+    """The result documents that the worker wrote, read back."""
+    root = stored_bundles(spark, sf_dir)
+    B.run_bundles(spark, root, B.ToneSynthesiser(200))
+    back = D.read_results(spark, f"{root}/*/output/synthesis_result.json").select(F.col("job_id").cast("long").alias("job_id"), "sample_rate", F.explode("segments").alias("s"))
+    return back.select("job_id", "sample_rate", "s.segment_id", "s.chunk_id", "s.audio_path", F.round("s.duration", 6).alias("duration"))
+
+
 # -- metrics ------------------------------------------------------------------------------------------------------
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -265,6 +425,33 @@ def cer(spark, sf_dir):
     return pairs(spark, sf_dir).select("job_id", "chunk_id", F.round(T.character_error_rate(F.col("text"), F.col("next_text")), 6).alias("cer"))
 
 
+@query(rf"""
+WITH RECURSIVE {SQL_TRANSCRIPT.strip()},
+lp AS (SELECT job_id, avg(-0.1 * (pos + 1)) AS p FROM l GROUP BY job_id),
+hyp AS (SELECT job_id, string_agg({sql_strip('text')}, ' ' ORDER BY segment_id) AS h FROM tr GROUP BY job_id),
+ref AS (SELECT conv_id AS job_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn, role, coalesce(text, '')) AS r FROM conversations WHERE turn > 0 GROUP BY conv_id),
+w AS (
+  SELECT ref.job_id, list_filter(regexp_split_to_array({sql_strip('r')}, '{SPACE}'), lambda x: x <> '') AS r, list_filter(regexp_split_to_array({sql_strip('h')}, '{SPACE}'), lambda x: x <> '') AS h
+  FROM ref JOIN hyp ON ref.job_id = hyp.job_id),
+d AS (
+  SELECT job_id, r, h, 0 AS i, range(len(h) + 1) AS row FROM w
+  UNION ALL
+  SELECT job_id, r, h, i + 1,
+    list_reduce(list_concat([[i + 1]], list_transform(range(1, len(h) + 1), lambda j: [j])),
+      lambda a, x: list_append(a, least(row[x[1] + 1] + 1, a[x[1]] + 1, row[x[1]] + CASE WHEN h[x[1]] = r[i + 1] THEN 0 ELSE 1 END)))
+  FROM d WHERE i < len(r))
+SELECT d.job_id, CASE WHEN len(r) > 0 THEN round(row[len(h) + 1] / len(r), 6) END AS wer, round(p, 6)::DOUBLE AS avg_logprob, 1.0::DOUBLE AS avg_segment_duration
+FROM d JOIN lp ON lp.job_id = d.job_id WHERE i = len(r)""")
+def transcript_quality(spark, sf_dir):
+    """Transcripts against references that lack the first turn."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i * 1.5).alias("start"), (i * 1.5 + 1).alias("end"), x.alias("text"), (-0.1 * (i + 1)).alias("avg_logprob")))
+    segments = R.assemble(turns(spark, sf_dir).select("job_id", "chunk_id", (F.col("chunk_id") * 30.0).alias("chunk_start"), line.alias("segments")))
+    own = F.array_sort(F.collect_list(F.struct("chunk_id", "role", "text")))
+    references = turns(spark, sf_dir).where("chunk_id > 0").groupBy("job_id").agg(F.array_join(F.transform(own, lambda x: x.text), " ").alias("reference"))
+    out = M.evaluate_transcripts(segments, references)
+    return out.select("job_id", *(F.round(c, 6).alias(c) for c in ("wer", "avg_logprob", "avg_segment_duration")))
+
+
 @query("SELECT user_id AS job_id, round(coalesce(avg(value) FILTER (event_type <> 'error'), 0), 6) AS avg_logprob FROM events GROUP BY user_id")
 def logprob_mean(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.when(F.col("event_type") != "error", F.col("value")).alias("avg_logprob"))
@@ -279,13 +466,13 @@ def segment_duration_mean(spark, sf_dir):
 
 @query(f"""
 WITH p AS ({SQL_PAIRS}), q AS (SELECT * FROM p WHERE next_text IS NOT NULL),
-a AS (SELECT job_id, count(*) AS n, avg(length(text)) AS s, avg(length(next_text)) AS t, sum(length(next_text)) / nullif(sum(length(text)), 0) AS x FROM q GROUP BY job_id)
-SELECT j.job_id, coalesce(n, 0) AS num_segments, round(coalesce(s, 0), 6) AS avg_source_length, round(coalesce(t, 0), 6) AS avg_target_length, round(coalesce(x, 1), 6) AS expansion_ratio
+a AS (SELECT job_id, count(*) AS n, sum(length(text)) AS ts, sum(length(next_text)) AS tt, avg(length(text)) AS s, avg(length(next_text)) AS t, sum(length(next_text)) / nullif(sum(length(text)), 0) AS x FROM q GROUP BY job_id)
+SELECT j.job_id, coalesce(n, 0) AS num_segments, coalesce(ts, 0)::BIGINT AS total_source_chars, coalesce(tt, 0)::BIGINT AS total_target_chars, round(coalesce(s, 0), 6) AS avg_source_length, round(coalesce(t, 0), 6) AS avg_target_length, round(coalesce(x, 1), 6) AS expansion_ratio
 FROM (SELECT DISTINCT conv_id AS job_id FROM conversations) j LEFT JOIN a ON a.job_id = j.job_id""")
 def translation_metrics(spark, sf_dir):
     rows = pairs(spark, sf_dir).select("job_id", F.col("text").alias("source_text"), F.col("next_text").alias("translated_text"))
     out = M.evaluate_translations(rows, turns(spark, sf_dir))
-    return out.select("job_id", "num_segments", *(F.round(c, 6).alias(c) for c in ("avg_source_length", "avg_target_length", "expansion_ratio")))
+    return out.select("job_id", "num_segments", "total_source_chars", "total_target_chars", *(F.round(c, 6).alias(c) for c in ("avg_source_length", "avg_target_length", "expansion_ratio")))
 
 
 @query(f"WITH {SQL_SEGMENTS} SELECT job_id, 16000 AS sample_rate, 1 AS channels, count(*) AS num_segments FROM seg GROUP BY job_id")

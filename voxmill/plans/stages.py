@@ -11,9 +11,10 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.segments import segments_or_windows, silences_from_samples
-from ..operators.validation import is_valid_media, split_valid, stage_result
-from ..sources.media import convert_audio, cut_chunks, probe, probe_wav
+from ..operators.segments import segments_or_windows
+from ..operators.validation import INVALID, is_valid_media, stage_result
+from ..sources.media import cut_chunks, prepare_audio, probe, probe_wav, read_pcm
+from ..sources.shared import written_once
 
 
 @dataclass(frozen=True)
@@ -58,27 +59,32 @@ class Stage(Protocol):
 
 
 class Preprocess:
-    """Media files to chunks: probe, validate, convert, find silences, cut. jobs: job_id, size, content."""
+    """Media files to chunks: probe, validate, convert, find silences, cut. jobs: job_id, size, content. prober and decoder
+    read other formats than PCM WAV (see sources.media)."""
 
-    def __init__(self, prober=probe_wav):
-        self.prober = prober
+    def __init__(self, prober=probe_wav, decoder=read_pcm):
+        self.prober, self.decoder = prober, decoder
 
     def validate(self, jobs: DataFrame) -> DataFrame:
         probed = probe(jobs, self.prober)
         return probed.withColumn("valid", is_valid_media(F.col("size"), F.col("streams"), F.col("duration")))
 
     def run(self, jobs: DataFrame, config: Config | None = None, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Chunks with their audio, and a stage result per job; refused jobs fail, the others go on. expected: job_id of
-        all jobs, so that those without a file (or with an empty one, which Spark doesn't list) fail, too."""
+        """Chunks with their audio, and a stage result per job with its latency. Refused jobs and those whose audio can't be
+        read fail, the others go on; each file is probed and converted once. expected: job_id of all jobs, so that those
+        without a file (or with an empty one, which Spark doesn't list) fail, too."""
         config = config or Config()
         jobs = jobs if expected is None else expected.select("job_id").distinct().join(jobs, "job_id", "left")
-        valid, refused = split_valid(probe(jobs, self.prober))
         rate = config.audio_sample_rate
-        audio = convert_audio(valid, rate, config.audio_channels)
-        cuts = audio.select("job_id", "audio", segments_or_windows(silences_from_samples(F.col("samples"), rate), F.col("total_duration")).alias("segments"))
-        measures = F.create_map(F.lit("sample_rate"), F.lit(float(rate)), F.lit("channels"), F.lit(float(config.audio_channels)), F.lit("num_segments"), F.size("segments").cast("double"))
+        made = written_once(prepare_audio(jobs, rate, config.audio_channels, self.prober, self.decoder), "prepared")
+        valid = is_valid_media(F.col("size"), F.col("streams"), F.col("duration"))
+        cuts = made.where(valid & F.col("error").isNull()).withColumn("segments", segments_or_windows(F.col("silences"), F.col("total_duration")))
+        measures = {"sample_rate": F.lit(float(rate)), "channels": F.lit(float(config.audio_channels)), "num_segments": F.size("segments").cast("double"), "latency_seconds": F.col("seconds")}
+        measures = F.create_map(*(x for k, v in measures.items() for x in (F.lit(k), v)))
         done = cuts.select("job_id", *stage_result("preprocess", "done", output=F.concat(F.lit("artifacts/"), "job_id", F.lit("/manifest.json")), metrics=measures))
-        return cut_chunks(cuts), done.unionByName(refused)
+        latency = F.create_map(F.lit("latency_seconds"), F.col("seconds"))
+        failed = made.where(~valid | F.col("error").isNotNull()).select("job_id", *stage_result("preprocess", "failed", metrics=latency, error=F.when(valid, F.col("error")).otherwise(INVALID)))
+        return cut_chunks(cuts), done.unionByName(failed)
 
 
 def latest_attempt(results: DataFrame) -> DataFrame:

@@ -88,17 +88,24 @@ def zip_bundles(files: DataFrame) -> DataFrame:
     return files.select("job_id", "path", "content").groupBy("job_id").applyInPandas(pack, "job_id string, path string, content binary")
 
 
-def load_bundles(spark: SparkSession, root: str) -> DataFrame:
-    """Requests of the bundles below root/job_id, after their checks: all required files, the version, whole documents."""
-    files = list_files(spark, root)
-    tail = F.regexp_extract("path", r"([^/]+)/((?:request/)?[^/]+)$", 0)
-    inside = F.col("path").rlike(r"/request/[^/]+$")
+def load_bundles(spark: SparkSession, root: str, audio: bool = False) -> DataFrame:
+    """Requests of the bundles below root/job_id, after their checks: all required files, the version, whole documents.
+    audio: with the voice sample as reference_audio. Only the files that are asked for are read."""
+    paths = list_files(spark, root).select("path")
     parts = F.split("path", "/")
-    files = files.select(F.when(inside, F.element_at(parts, -3)).otherwise(F.element_at(parts, -2)).alias("job_id"), F.when(inside, F.concat(F.lit("request/"), F.element_at(parts, -1))).otherwise(F.element_at(parts, -1)).alias("file"), F.col("content").cast("string").alias("json"), tail.alias("tail"))
-    lacking = missing_files(files, files, REQUIRED).limit(1).collect()
+    inside = F.element_at(parts, -2) == "request"
+    name = [F.when(inside, F.get(parts, F.size(parts) - 3)).otherwise(F.element_at(parts, -2)).alias("job_id"), F.when(inside, F.concat(F.lit("request/"), F.element_at(parts, -1))).otherwise(F.element_at(parts, -1)).alias("file")]
+    there = paths.select(*name)
+    lacking = missing_files(there.where(F.col("file").isin(*REQUIRED)), there, REQUIRED).limit(1).collect()
     if lacking:
         raise FileNotFoundError(f"Missing required bundle file: {lacking[0].job_id}/{lacking[0].file}")
-    manifests = files.where(F.col("file") == MANIFEST).select("job_id", parsed(F.col("json"), BUNDLE_MANIFEST).alias("m"))
+
+    def read(file: str) -> DataFrame:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file.split("/")[-1]).load(root)
+        return rows.select(*name, "content").where(F.col("file") == file).select("job_id", "content")
+
+    manifests = read(MANIFEST).select("job_id", parsed(F.col("content").cast("string"), BUNDLE_MANIFEST).alias("m"))
     manifests = manifests.select("job_id", version_checked(F.col("m.metadata.bundle_version")).alias("bundle_version"))
-    requests = files.where(F.col("file") == REQUEST).select("job_id", parsed(F.col("json"), SYNTHESIS_REQUEST).alias("r"))
-    return manifests.join(requests, "job_id").select("job_id", "bundle_version", "r.language", "r.output_sample_rate", "r.segments")
+    requests = read(REQUEST).select("job_id", parsed(F.col("content").cast("string"), SYNTHESIS_REQUEST).alias("r"))
+    out = manifests.join(requests, "job_id").select("job_id", "bundle_version", "r.language", "r.output_sample_rate", "r.segments")
+    return out.join(read(REFERENCE).withColumnRenamed("content", "reference_audio"), "job_id") if audio else out
