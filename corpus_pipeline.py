@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm.bpe import digests, encode_documents
-from voxmill.llm.common import shared_path
+from voxmill.llm.common import remove_path, shared_path
 from voxmill.llm.line_dedup import dedup_lines
 from voxmill.llm.minhash_dedup import drop_near_duplicates
 from voxmill.llm.mixing import mixed_documents
@@ -53,13 +53,16 @@ STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("minhash_dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         at = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(at), at
     return docs
 
 
-#: No SQL can express the trained network or the similarity join; the tests hold each stage against brute force.
+#: No SQL can express the trained network or the seeded blocks. tests/llm holds each stage against brute force on the rows
+#: that the stage before it wrote.
 ORACLE_SQL = None
