@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import remove_path, shared_path
 
 
 def find(parent: dict, x):
@@ -44,11 +44,25 @@ def components(links: DataFrame) -> DataFrame:
     """From links (a, b; long): id and component_id, the smallest id reachable, of all ids that have a link to another.
 
     Alternating stars: each round hangs every node and its larger neighbours on the smallest node it sees, then every
-    node's smaller neighbours; rounds grow with the logarithm of a component's width. Minima are summed per task and
-    joined back, so a node with very many links is split by the adaptive skew join. Links with a null end don't count.
+    node's smaller neighbours; rounds grow with the logarithm of a component's width. Minima are summed per task and joined
+    back to rows of two numbers. A task contracts its links first and holds a star per node that it has seen, so a node
+    has a link per task at most when the rounds begin. Links with a null end don't count.
     """
+    spark, top = links.sparkSession, shared_path(links.sparkSession, "components")
+    steps = 0
+
+    def kept(df: DataFrame) -> DataFrame:
+        """Written, and what was written three steps before, which nothing reads any more, removed. (A checkpoint would carry
+        the plan's estimate of its size along, and products of estimates over the rounds grow beyond measure.)"""
+        nonlocal steps
+        df.write.parquet(f"{top}/{steps}")
+        if steps > 2:
+            remove_path(spark, f"{top}/{steps - 3}")
+        steps += 1
+        return spark.read.schema(df.schema).parquet(f"{top}/{steps - 1}")
+
     edges = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    edges = cut(edges.mapInPandas(contracted, "a long, b long").distinct())
+    edges = kept(edges.mapInPandas(contracted, "a long, b long").distinct())
     before = None
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -57,9 +71,8 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
+        large = kept(both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("n"))
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.a", "s.b").where("a <> b").distinct()
-        edges = cut(small)
+        edges = kept(small)
