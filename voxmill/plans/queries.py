@@ -251,6 +251,18 @@ def chunk_audio(spark, sf_dir):
     return chunks.select("job_id", "chunk_id", "chunk_path", "start_ts", "end_ts", ((F.octet_length("content") - 44) / 2).cast("long").alias("frames"))
 
 
+@query(f"""
+WITH {SQL_SPEECH}, n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY start_ts) - 1 AS chunk_id FROM speech),
+w AS (SELECT vec_id, chunk_id, start_ts, unnest(range(floor(end_ts - start_ts)::BIGINT)) AS k FROM n)
+SELECT vec_id::VARCHAR AS job_id, row_number() OVER (PARTITION BY vec_id ORDER BY chunk_id, k) - 1 AS segment_id, chunk_id, (start_ts + k)::DOUBLE AS start_ts, (start_ts + k + 1)::DOUBLE AS end_ts,
+  ' word' || k || ' ' AS text, round(-0.1 * (k + 1), 6)::DOUBLE AS avg_logprob FROM w""")
+def recognised_chunks(spark, sf_dir):
+    """Media files to a transcript, by the stage and a recogniser that hears a word a second."""
+    chunks, _ = P.Preprocess().run(recordings(spark, sf_dir), P.Config(audio_sample_rate=RATE))
+    segments = R.assemble(B.recognise(chunks, B.StubRecogniser()))
+    return segments.select("job_id", "segment_id", "chunk_id", "start_ts", "end_ts", "text", F.round("avg_logprob", 6).alias("avg_logprob"))
+
+
 def stored(docs: DataFrame, name: str) -> str:
     """Writes a document per job (job_id, json) to a folder of its own, and returns their paths' pattern."""
     path = work_folder(docs.sparkSession, name)
@@ -339,11 +351,27 @@ def translated_segments(spark, sf_dir):
     return R.translate(transcript(spark, sf_dir), R.job_languages(heard), "ta", Tagged())
 
 
+@query(f"""
+WITH {SQL_TRANSCRIPT}
+SELECT job_id, segment_id, '[hin_Deva] ' || text AS translated_text, CASE WHEN job_id % 2 = 0 THEN 'en' ELSE 'unknown' END AS source_language FROM tr""")
+def translated_by_backend(spark, sf_dir):
+    """The same by a backend that is loaded in the workers and takes batches of rows."""
+    heard = turns(spark, sf_dir).select("job_id", "chunk_id", F.when(F.col("job_id") % 2 == 0, "en").alias("language"), F.lit(0.5).alias("language_probability"))
+    out = R.translate(transcript(spark, sf_dir), R.job_languages(heard), "hi", B.TranslationBackend(B.StubTranslator()))
+    return out.select("job_id", "segment_id", "translated_text", "source_language")
+
+
 def requests(spark: SparkSession, sf_dir: str, rate: int) -> DataFrame:
     translated = transcript(spark, sf_dir).select(F.col("job_id").cast("string"), "segment_id", "chunk_id", "start_ts", "end_ts", F.col("text").alias("translated_text"), F.lit("hi").alias("target_language"))
     return R.synthesis_requests(translated, "voices/reference.wav", rate)
 
 
+@query("SELECT DISTINCT conv_id::VARCHAR AS job_id, 'tts' AS stage_name, 'pending' AS status, 1 AS attempt FROM conversations")
+def pending_jobs(spark, sf_dir):
+    """What an export for a synthesiser elsewhere leaves behind."""
+    return B.submitted(requests(spark, sf_dir, 24000)).select("job_id", "stage_name", "status", "attempt")
+
+
 def stored_bundles(spark: SparkSession, sf_dir: str, rate: int = 200) -> str:
     """Bundles of all jobs in a folder that is mounted everywhere."""
     root = work_folder(spark, "bundles").removeprefix("file:")
