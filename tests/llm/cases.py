@@ -1,5 +1,6 @@
 """Hard little tables, and plain versions of what the operators do."""
 
+import collections
 import random
 import re
 
@@ -50,3 +51,18 @@ def components(nodes, links):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     return {x: find(x) for x in nodes}
+
+
+def drop_lines(data):
+    docs = collections.defaultdict(set)
+    keys = lambda t: [lower(x.strip(SPACES)) for x in (t or "").split("\n")]
+    for r in data:
+        for k in keys(r[1]):
+            if len(k) >= 20:
+                docs[k].add(-1 if r[0] is None else r[0])
+    out = []
+    for r in data:
+        lines, own = (r[1] or "").split("\n"), -1 if r[0] is None else r[0]
+        kept = [x for x, k in zip(lines, keys(r[1]), strict=True) if not (len(docs[k]) >= 3 and own != max(docs[k]))]
+        out.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(map(repr, out))

@@ -1,5 +1,6 @@
 """The other operators against brute force, exact round trips or held-out accuracy, and the pipeline."""
 
+import ast
 import collections
 import hashlib
 import math
@@ -11,7 +12,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
-from cases import TEXTS, components, empty, lower, rows, table, words
+from cases import TEXTS, components, drop_lines, empty, lower, rows, table, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -43,10 +44,11 @@ def shingles(text):
     return set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_near_dedup(spark, percent):
+@pytest.mark.parametrize("percent,block", [(85, 1024), (80, 1024), (85, 7), (80, 3)])
+def test_near_dedup(spark, percent, block):
+    """In clusters of one task, and in clusters of many blocks."""
     data = rows([*TEXTS, *near_groups()])
-    got = minhash_dedup.near_dedup(table(spark, data), percent).collect()
+    got = minhash_dedup.near_dedup(table(spark, data), percent, block_docs=block).collect()
     sets = [(r[0], shingles(r[1])) for r in data if r[0] is not None]
     links = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if s and t and 100 * len(s & t) >= percent * len(s | t)]
     root = components({i for i, _ in sets}, links)
@@ -56,9 +58,65 @@ def test_near_dedup(spark, percent):
     assert minhash_dedup.near_dedup(empty(spark)).count() == 0
 
 
-def test_near_dedup_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "BLOCK_DOCS", 7)
-    test_near_dedup(spark, 85)
+def variants(r, base, n, share):
+    """Copies of a list of words whose shingle sets agree with the base's in about `share`, by single words changed."""
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for k in r.sample(range(len(base)), max(1, round(len(base) * (1 - share) / 5))):
+            copy[k] = f"changed{r.randrange(10**9)}"
+        out.append(copy)
+    return out
+
+
+def test_large_cluster(spark):
+    """5,000 near copies: those close to the first are its core; a chain beyond it is found by blocks, and joins."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(x) for x in [base, *variants(r, base, 4980, 0.96)]]
+    for k in range(12):  # each is near the one before it, and soon far from the base
+        base = [*base[:-1]]
+        base.insert(0, f"shift{k}")
+        texts.append(" ".join(base))
+    far = variants(r, base, 6, 0.3)
+    texts += [" ".join(x) for x in far]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_dedup(docs).collect()}
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    core = [k for k in range(4981) if near(sets[0], sets[k])]
+    assert len(core) > 4900 and len({got[ids[k]] for k in core}) == 1
+    chain = all(near(sets[k], sets[k + 1]) for k in [0, *range(4981, 4992)] if k)
+    assert chain and near(sets[0], sets[4981]) and {got[ids[k]] for k in range(4981, 4993)} == {got[ids[0]]}
+    assert all(got[ids[k]] == ids[k] for k in range(4993, 4999))
+
+
+def test_one_id_for_all_rows(spark):
+    """Rows that share an id are one document, whose texts are compared by themselves, in blocks and without pairs of rows."""
+    r = random.Random(9)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(500)], k=40)) for _ in range(1500)]
+    data = [(7, t) for t in texts] + [(8, texts[3]), (9, texts[5] + " more"), (10, "nothing like the others at all here")] + [(7, texts[0])] * 500
+    got = {(x.doc_id, x.component_id) for x in minhash_dedup.near_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {(7, 7), (8, 7), (9, 7), (10, 10)}
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_recall(spark, percent):
+    """Of 600 pairs just above the threshold, in documents that share a long beginning, all are linked."""
+    r = random.Random(percent)
+    shared, data, pairs = [f"s{k}" for k in range(40)], [], []
+    while len(pairs) < 600:
+        own = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        other = variants(r, own, 1, percent / 100 + 0.03)[0]
+        a, b = shingles(" ".join(shared + own)), shingles(" ".join(shared + other))
+        if percent <= 100 * len(a & b) / len(a | b) < percent + 2:
+            k = 2 * len(pairs)
+            data += [(k, " ".join(shared + own)), (k + 1, " ".join(shared + other))]
+            pairs.append((k, k + 1))
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(4), percent).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) == 600 and len(set(got.values())) == 600
 
 
 def test_drop_near_duplicates(spark):
@@ -109,7 +167,8 @@ def test_quantisation_bounds():
     x = rng.normal(size=(300, 24))
     t = embedding_dedup.Tile(x.ravel(), np.arange(300), np.ones(300, np.int64))
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    near = (t.codes @ t.codes.T) * t.scale[:, None] * t.scale
+    codes = t.codes.astype(int)
+    near = (codes @ codes.T) * t.scale[:, None] * t.scale
     assert (np.abs(near - u @ u.T) <= t.length[:, None] * t.error + t.error[:, None] + 1e-6).all()
     assert t.error.max() < 0.02
 
@@ -127,8 +186,8 @@ def test_token_file(spark, tmp_path):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(r.ids))
         at += len(ids)
     assert not any(want.values()) and [r.doc_id for r in got] == sorted((r[0] for r in data), key=lambda x: (x is not None, x or 0))
-    names = token_file.export_images(spark, str(tmp_path / "t"), str(tmp_path)).collect()
-    assert sum(token_file.Image(open(n.name, "rb").read()).n for n in names) == at
+    images = [token_file.Image(f.read_bytes()) for f in (tmp_path / "t").glob("part-*")]  # a file per shard, read without Spark
+    assert sum(x.n for x in images) == at and len({(x.part, x.seq) for x in images}) == len(images) > 4
     token_file.write_token_file(empty(spark), str(tmp_path / "e"))
     assert token_file.read_token_file(spark, str(tmp_path / "e")).count() == 0
 
@@ -255,6 +314,52 @@ def test_sharding(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
 
+def auc(scores, truth):
+    rank = np.argsort(np.argsort(scores))
+    p = truth.sum()
+    return (rank[truth].sum() - p * (p - 1) / 2) / (p * (len(truth) - p))
+
+
+def test_toxicity_of_held_out_labels():
+    """On the given labels: documents that weren't trained on are told apart, by what the training adds to the start (the
+    log-odds alone tell nothing), and better from that start than from a random one."""
+    d = "/root/testdata/sf0.1"
+    docs = pd.read_parquet(f"{d}/documents.parquet", columns=["doc_id", "text"]).drop_duplicates("doc_id").set_index("doc_id").text.fillna("")
+    labels = pd.read_parquet(f"{d}/labels.parquet").dropna(subset=["toxic"])
+    labels = labels[labels.doc_id.isin(docs.index)].groupby("doc_id").toxic.max() > 0
+    held = np.array([toxicity.crc_fold(i) == 0 for i in labels.index])
+    known, asked = labels[~held], labels[held]
+    known = pd.concat([known[known][:1200], known[~known][:1200]]).sort_index()
+    found = {}
+    for name, options in (("trained", {}), ("start", {"epochs": 0}), ("random start", {"seeded": False})):
+        net = toxicity.train([docs[i] for i in known.index], known.to_numpy(), **options)
+        found[name] = toxicity.score_texts(net, [docs[i] for i in asked.index])
+    truth, scores = asked.to_numpy(), found["trained"]
+    print({k: round(float(auc(v, truth)), 4) for k, v in found.items()})
+    assert auc(scores, truth) > 0.955 and (scores[truth] >= 0.5).mean() > 0.8 and (scores[~truth] >= 0.5).mean() < 0.03
+    assert auc(scores, truth) > auc(found["start"], truth) + 0.2 and auc(scores, truth) > auc(found["random start"], truth)
+
+
+def test_toxicity_of_long_texts():
+    """A text of more than a piece is scored whole: what is toxic counts wherever it stands."""
+    data = toxic_texts(300, 1)
+    net = toxicity.train([t for t, _ in data], np.array([y for _, y in data]), epochs=4)
+    clean, bad = " ".join(t for t, y in data if not y), next(t for t, y in data if y)
+    clean = (clean + " ") * (toxicity.PIECE // len(clean) + 2)
+    got = toxicity.score_texts(net, [clean, clean + bad, bad + " " + clean])
+    assert len(clean) > toxicity.PIECE and got[1] > got[0] and got[2] > got[0]
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(k, "text " * (k % 7)) for k in range(200)] + [(300, "very long " * 10_000)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    for most in (10**9, 2000):
+        rows = toxicity.training_rows(docs, labels, max_docs=100, max_chars=most)
+        assert rows.num_rows <= 100 and sum(map(len, rows["text"].to_pylist())) <= most
+        assert all(toxicity.crc_fold(i) for i in rows["doc_id"].to_pylist())
+    assert toxicity.training_rows(docs, labels.where("false")).num_rows == 0
+
+
 def toxic_texts(n, seed):
     r = random.Random(seed)
     syllables = ["an", "the", "er", "on", "re", "ing", "ed", "sh", "ti", "wh"]
@@ -316,14 +421,53 @@ def test_toxicity_on_tables(spark):
     assert (out.held_out == [toxicity.crc_fold(k) == 0 for k in out.doc_id]).all()
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
+    """Each stage against brute force, on the rows that the stage before it wrote."""
     import corpus_pipeline as P
 
     assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "minhash_dedup", "mixing", "bpe"]
-    out = P.run(spark, DATA).collect()
-    decoded = {r.decoded_sha256 for r in out}
-    assert len(out) > 100 and all(r.n_tokens == len(r.ids) for r in out)
-    assert all(hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in out) and len(decoded) > 50
+    docs, rows_of = spark.read.parquet(f"{DATA}/documents.parquet"), {}
+    rows_of["documents"] = before = docs.collect()
+    for name, stage in P.STAGES:
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        rows_of[name] = docs.collect()
+    key = lambda r: (str(r.doc_id), r.text or "", str(r.lang), str(r.source), str(r.n_chars))
+
+    net = toxicity.fit(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    scores = [float(toxicity.score_texts(net, [r.text or ""])[0]) for r in before]
+    clear = [abs(x - 0.5) > 1e-3 for x in scores]  # sums of other batches may differ in the last place
+    kept = {r.doc_id for r in rows_of["toxicity"]}
+    assert all((r.doc_id in kept) == (x < 0.5) for r, x, c in zip(before, scores, clear, strict=True) if c) and len(kept) < len(before)
+
+    before = rows_of["toxicity"]
+    want = [(i, text) for i, _, _, text in map(ast.literal_eval, drop_lines([(r.doc_id, r.text) for r in before]))]
+    assert sorted(want) == sorted((r.doc_id, r.text or "") for r in rows_of["line_dedup"]) and sorted(want) != sorted((r.doc_id, r.text or "") for r in before)
+
+    before = rows_of["line_dedup"]
+    sets = [(r.doc_id, shingles(r.text)) for r in before]
+    links = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if s and t and 100 * len(s & t) >= 80 * len(s | t)]
+    root = components([i for i, _ in sets], links)
+    assert sorted(map(key, rows_of["minhash_dedup"])) == sorted(key(r) for r in before if root[r.doc_id] == r.doc_id) and links
+
+    before, after = rows_of["minhash_dedup"], rows_of["mixing"]
+    size, taken, texts = collections.Counter(), collections.Counter(), {r.doc_id: words(r.text) for r in before}
+    for r in before:
+        size[r.source] += len(texts[r.doc_id])
+    names = sorted(size, key=lambda x: (x is None, x or ""))
+    goal = mixing.targets([size[n] for n in names], [(5, 2, 1)[k % 3] for k in range(len(names))])
+    copies = collections.Counter(r.doc_id for r in after)
+    for r in after:
+        taken[r.source] += len(words(r.text))
+        whole = iter(texts[r.doc_id])
+        assert all(any(w == x for x in whole) for w in words(r.text)) and r.n_chars == len(r.text)  # words of the document, in its order
+    assert max(copies.values()) == 2 and all(abs(taken[n] - g) <= 32 * 2 + 0.01 * g for n, g in zip(names, goal, strict=True))
+
+    tk = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.rank_path()), special_tokens={})
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = [(r.doc_id, str(r.source), ids := tk.encode_ordinary(r.text or ""), sha(" ".join(map(str, ids)).encode()), sha((r.text or "").encode())) for r in after]
+    assert sorted(want) == sorted((r.doc_id, str(r.source), r.ids, r.ids_sha256, r.decoded_sha256) for r in rows_of["bpe"])
+    assert P.run(spark, DATA).count() == len(want)
 
 
 @pytest.mark.parametrize("data", ["hard", "empty"])

@@ -5,7 +5,7 @@ import hashlib
 
 import duckdb
 import pytest
-from cases import LINE, SPACES, empty, lower, rows, table
+from cases import LINE, SPACES, drop_lines, empty, rows, table
 from pyspark.sql import functions as F
 
 from voxmill.llm import chat_format as C
@@ -24,7 +24,7 @@ def sha(text):
 def test_equal_to_sql(spark, name):
     got = Q.QUERIES[name](spark, DATA)
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = c.execute(Q.SQL[name]).df()
     names = sorted(got.columns)
@@ -80,21 +80,6 @@ def test_all_copies(spark):
     assert [tuple(r) for r in got] == [(0, 3000, 3000, 1)]
 
 
-def drop_lines(data):
-    docs = collections.defaultdict(set)
-    keys = lambda t: [lower(x.strip(SPACES)) for x in (t or "").split("\n")]
-    for r in data:
-        for k in keys(r[1]):
-            if len(k) >= 20:
-                docs[k].add(-1 if r[0] is None else r[0])
-    out = []
-    for r in data:
-        lines, own = (r[1] or "").split("\n"), -1 if r[0] is None else r[0]
-        kept = [x for x, k in zip(lines, keys(r[1]), strict=True) if not (len(docs[k]) >= 3 and own != max(docs[k]))]
-        out.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return sorted(map(repr, out))
-
-
 def test_line_dedup(spark):
     data = rows() + [(None, LINE, None, None, None, *[None] * 7), (700, f"{LINE}\n\n{LINE}\n", None, None, None, *[None] * 7), (700, f"{LINE}\nother", None, None, None, *[None] * 7)]
     for hot in (1000, 3):  # by the shuffle, and by the broadcast of the common lines
@@ -164,3 +149,20 @@ def test_loss_mask(spark):
     assert got[1].loss == C.HARD_TEXT + "é👩‍👩‍👧" and [x.text for x in got[1].turns] == [C.HARD_TEXT, C.HARD_TEXT, "é👩‍👩‍👧"]
     assert got[2].loss == "" and [(x.role, x.text) for x in got[2].turns] == [("", ""), ("user", "q"), ("user", "q")]
     assert got[1].formatted.count("</turn>") == 3 and got[1].formatted.count("###") == 3
+
+
+def test_chat_with_clashing_columns_and_long_texts(spark, tmp_path):
+    """Columns named like the operator's own, a text of a million code points, and a conversation of many turns."""
+    long = "\\### Assistant: </turn> \n" * 40_000
+    data = [(1, 0, "user", long), (1, 1, "assistant", long), *((2, k, "assistant" if k % 2 else "user", f"turn {k} <#\\>") for k in range(700))]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    for name in ("tree", "id", "parent", "score", "n", "up", "depth", "leaf", "rank", "pos", "formatted"):
+        df = df.withColumn(name, F.lit("x"))
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in C.op1_chat_format(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, -7}
+    for conv in (1, 2):
+        own = [r for r in data if r[0] == conv]
+        assert got[conv].n_turns == len(own) and got[conv].turns_sha256 == sha("".join(f"{r[2]}\n{r[3]}\n" for r in own))
+        loss = "".join(r[3] for r in own if r[2] == "assistant")
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
