@@ -1,16 +1,17 @@
 """Operator 3, token-ID / binary output in patched frame-of-reference blocks.
 
 Documents are dealt by ranges of doc_id and sorted, so tasks write shards in ascending order of id. A task encodes
-whole texts with the tokenizers library, appends the end id, and closes a shard at `shard_tokens` ids. Shards are the
-rows of a Parquet folder in the shared store (part, seq, at, n_docs, n_tokens, image); `image` is the shard's file as
-below, and export_images() puts each into a file of its own where a mounted folder is wanted. Going through Spark's
-writer keeps a lost or repeated task from leaving half a file.
-
-Image, little-endian: header (magic, ids per block, docs, ids, blocks, end id), doc ids as int64, a byte per doc that
-is 1 where the id is null, ids per doc as uint32, then per block minimum uint32, width uint8, exceptions uint16 and
-start uint64 of its bits, the packed bits of all blocks, and the exceptions as (place in block uint16, value uint32).
-A block holds `block` ids less their minimum, packed at the width of the chosen percentile; what is wider is an
-exception and is stored whole. The starts index the blocks, so any of them can be read alone: see read_block().
+whole texts with the tokenizers library, appends the end id, and closes a shard at `shard_tokens` ids. Each shard is a
+file of its own in the folder, in the format below. Spark's writer puts the bytes there (a row of raw bytes per file,
+with a line break at the end, which the format ignores), on whatever store the path names, and keeps a lost or repeated
+task from leaving half a file. Reading takes the files' heads for the offsets, then the files.
+
+File, little-endian: head (magic, ids per block, docs, ids, blocks, end id, writing task, shard of the task, ids of the
+task before it), doc ids as int64, a byte per doc that is 1 where the id is null, ids per doc as uint32, then per block
+minimum uint32, width uint8, exceptions uint16 and start uint64 of its bits, the packed bits of all blocks, and the
+exceptions as (place in block uint16, value uint32). A block holds `block` ids less their minimum, packed at the width
+of the chosen percentile; what is wider is an exception and is stored whole. The starts index the blocks, so any of them
+can be read alone: see read_block().
 
 White space (U+0020, U+0009 to U+000D) separates matches of this tokenizer and is dropped by it, so texts are encoded
 word by word through the library, with a bounded cache of words; the ids are those of the whole text (tests compare).
@@ -30,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, shared_path, text_of
 
-MAGIC, HEADER = b"VXPF", "<4sIQQQI"
+MAGIC, HEADER = b"VXP2", "<4sIQQQIIIQ"
+#: Places of numbers in the head: ids, the writing task, the ids of that task before the shard.
+IDS, PART, AT = 3, 6, 8
 BLOCK, PERCENTILE, SHARD_TOKENS, END_ID = 128, 98, 2_000_000, 1
 CACHE, YOUNG, CACHED_BYTES, PIECE = 600_000, 100_000, 64, 6_000_000
 
@@ -137,8 +140,8 @@ def bit_widths(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def pack(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray, end_id: int = END_ID, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
-    """The image of a shard."""
+def pack(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray, end_id: int = END_ID, block: int = BLOCK, percentile: float = PERCENTILE, place: tuple[int, int, int] = (0, 0, 0)) -> bytes:
+    """The file of a shard. place: its task, its number there, and the ids of the task before it."""
     n = len(ids)
     n_blocks = -(-n // block)
     full = np.zeros(n_blocks * block, np.uint32)
@@ -151,8 +154,8 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray, end_id:
     rank = min(block - 1, int(np.ceil(block * percentile / 100)) - 1)
     width = bit_widths(np.partition(over, rank, axis=1)[:, rank]) if n_blocks else np.zeros(0, np.uint8)
     wide = bit_widths(over.ravel()).reshape(over.shape) > width[:, None]
-    row, place = np.nonzero(wide)
-    values = over[row, place]
+    row, spot = np.nonzero(wide)
+    values = over[row, spot]
     over[wide] = 0
     sizes = (width.astype(np.int64) * block + 7) // 8
     starts = np.cumsum(sizes) - sizes
@@ -165,18 +168,18 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray, end_id:
             packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
             data[starts[at][:, None] + np.arange(packed.shape[1])] = packed
     return b"".join([
-        struct.pack(HEADER, MAGIC, block, len(counts), n, n_blocks, end_id),
+        struct.pack(HEADER, MAGIC, block, len(counts), n, n_blocks, end_id, *place),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), counts.astype("<u4").tobytes(),
         low.astype("<u4").tobytes(), width.tobytes(), np.bincount(row, minlength=n_blocks).astype("<u2").tobytes(), starts.astype("<u8").tobytes(),
-        data.tobytes(), place.astype("<u2").tobytes(), values.astype("<u4").tobytes(),
+        data.tobytes(), spot.astype("<u2").tobytes(), values.astype("<u4").tobytes(),
     ])
 
 
 class Image:
-    """A shard's image, read back."""
+    """A shard's file, read back."""
 
     def __init__(self, image: bytes):
-        magic, self.block, docs, self.n, blocks, self.end_id = struct.unpack_from(HEADER, image)
+        magic, self.block, docs, self.n, blocks, self.end_id, self.part, self.seq, self.before = struct.unpack_from(HEADER, image)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         self.at, self.image = struct.calcsize(HEADER), image
@@ -228,8 +231,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, e
         ids, counts, doc_ids, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            image = pack(np.concatenate(ids), doc_ids, np.array(counts, np.int64), end_id, block, percentile)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "at": [at], "n_docs": [len(counts)], "n_tokens": [n], "image": [image]})
+            image = pack(np.concatenate(ids), doc_ids, np.array(counts, np.int64), end_id, block, percentile, (part, seq, at))
+            return pa.RecordBatch.from_pydict({"image": [image]})
 
         for batch in batches:
             for start, rows in pieces_of(batch.column("text")):
@@ -251,13 +254,21 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, e
         if counts:
             yield close()
 
-    src.mapInArrow(go, "part long, seq long, at long, n_docs long, n_tokens long, image binary").write.mode("overwrite").option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    src.mapInArrow(go, "image binary").select(F.col("image").cast("string")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def in_head(content: Column, field: int) -> Column:
+    """A number of a file's head, by its place there (0: the magic)."""
+    at, size = struct.calcsize(HEADER[: field + 2]), struct.calcsize(f"<{HEADER[field + 2]}")
+    pairs = F.regexp_extract_all(F.hex(F.substring(content, at + 1, size)), F.lit("(..)"), F.lit(1))
+    return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).cast("long")
 
 
 def read_token_file(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Per document: doc_id, start (ids of all before it), n_tokens, ids_crc32 and, if wanted, ids (little-endian uint32)."""
-    shards = spark.read.parquet(path)
-    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per writing task
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    shards = files.select(in_head(F.col("content"), PART).alias("part"), in_head(F.col("content"), AT).alias("at"), in_head(F.col("content"), IDS).alias("n"), F.col("content").alias("image"))
+    parts = shards.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row per writing task
     before = np.cumsum([0, *(r.n for r in parts)])[:-1] if parts else []
     offsets = spark.createDataFrame(pa.table({"o_part": pa.array([r.part for r in parts], pa.int64()), "before": pa.array(before, pa.int64())}))
     shards = shards.join(F.broadcast(offsets), F.col("part") == F.col("o_part")).select((F.col("before") + F.col("at")).alias("start"), "image")
@@ -280,21 +291,6 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = True) -> Da
     return shards.mapInArrow(go, schema)
 
 
-def export_images(spark: SparkSession, path: str, folder: str) -> DataFrame:
-    """Writes each shard's image to folder/part-seq.tok on a file system that all executors have mounted; returns the names."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                name = os.path.join(folder, f"{r['part']:06d}-{r['seq']:06d}.tok")
-                with open(f"{name}.{os.getpid()}", "wb") as f:
-                    f.write(r["image"])
-                os.replace(f"{name}.{os.getpid()}", name)
-                yield pa.RecordBatch.from_pydict({"name": [name]})
-
-    return spark.read.parquet(path).mapInArrow(go, "name string")
-
-
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = shared_path(spark, "tokens")
     write_token_file(documents(spark, sf_dir), at)
