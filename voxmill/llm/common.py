@@ -89,5 +89,14 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of texts are large: Arrow batches of 2,000 of them for the session, unless it has a size of its own."""
+    if spark.conf.get(BATCH_KEY) == "10000":  # the default
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

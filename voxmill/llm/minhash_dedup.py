@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, text_of, written
+from .common import cut, documents, small_batches, text_of, written
 from .components import components
 from .shingles import factors_of, set_hashes, shingle_sets, signature
 
@@ -244,6 +244,7 @@ def full_comparison(clusters: DataFrame, texts: DataFrame, percent: int, words:
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     rows = cut(sketches(docs, words, COORDS, id_col, text_col))
     keys = ["h1", "h2", "n"]
     best = F.min(F.struct("doc_id", "text_key")).alias("row")
