@@ -8,8 +8,9 @@ is its highest window's. Vectors start from the smoothed log-odds of each hash i
 then trained together, each text through its highest window.
 
 Training takes the labelled rows of at most `max_docs` documents, those with the smallest hashes of doc_id, half of
-them toxic if there are so many; documents whose crc32(doc_id) mod 5 is 0 are held out. That bound is the only one:
-scoring reads whole texts of all documents, in pieces of bounded memory. Labels, language, source and id are no inputs.
+them toxic if there are so many, as far as their texts come to `max_chars` code points (a document that would go beyond is
+left out); documents whose crc32(doc_id) mod 5 is 0 are held out. These bounds are the only ones: scoring reads whole
+texts of all documents, in pieces of bounded memory. Labels, language, source and id are no inputs.
 
 Edge cases: null, empty and wordless texts get the score of an empty window; of several labels of a document the
 highest counts, null labels and labels of no document don't; a null id is held out; without toxic or without clean
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut, documents, small_batches
 
-WINDOW, STRIDE, MAX_DOCS = 32, 24, 2400
+WINDOW, STRIDE, MAX_DOCS, MAX_CHARS = 32, 16, 2400, 50_000_000
 WORD_BITS, CHAR_BITS, DIM, HIDDEN = 15, 17, 4, 8
 SCALE = 0x9E3779B97F4A7C15
 #: Code points per piece when texts are scored, and windows per pass of the network.
@@ -242,15 +243,16 @@ def log_odds(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 5) -> Net | None:
-    """Fits the network to texts and their labels; None without both kinds."""
+def train(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 5, seeded: bool = True) -> Net | None:
+    """Fits the network to texts and their labels; None without both kinds. seeded: vectors start from log-odds."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
     net, words, r = Net(), Words(texts), np.random.default_rng(seed)
     of_words, of_chars = log_odds(words, toxic)
-    net.w["word"][:, 0] += of_words * 0.5
-    net.w["char"][:, 0] += of_chars
+    if seeded:
+        net.w["word"][:, 0] += of_words * 0.5
+        net.w["char"][:, 0] += of_chars
     mean, square = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     step, batch = 0, int(np.clip(len(texts) // 24, 16, 192))
     for epoch in range(epochs):
@@ -316,17 +318,25 @@ def held_out(id_column: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
-    """At most max_docs labelled documents that aren't held out, in order of doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", max_chars: int = MAX_CHARS) -> pa.Table:
+    """At most max_docs labelled documents of max_chars code points in all that aren't held out, in order of doc_id."""
     own = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     pick = lambda t: own.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)
     chosen = pick(True).unionByName(pick(False)).withColumnRenamed("doc_id", "l_id")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
     # an id that many rows share counts once
-    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")).toArrow().sort_by("doc_id")
+    rows = cut(rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")))
+    sizes = sorted((r.h, r.doc_id, r.n) for r in rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.char_length("text").alias("n")).collect())
+    total, ids = 0, []
+    for _, i, n in sizes:
+        if total + n <= max_chars:
+            total += n
+            ids.append(i)
+    return (rows if len(ids) == len(sizes) else rows.where(F.col("doc_id").isin(ids))).toArrow().sort_by("doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, **options) -> Net | None:
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, max_docs)
     return train(rows["text"].to_pylist(), np.array(rows["toxic"].to_pylist(), bool), **options)
 
