@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_path, text_of
+from .common import documents, shared_path, small_batches, text_of
 
 MAGIC, HEADER = b"VXP2", "<4sIQQQIIIQ"
 #: Places of numbers in the head: ids, the writing task, the ids of that task before the shard.
 IDS, PART, AT = 3, 6, 8
 BLOCK, PERCENTILE, SHARD_TOKENS, END_ID = 128, 98, 2_000_000, 1
-CACHE, YOUNG, CACHED_BYTES, PIECE = 600_000, 100_000, 64, 6_000_000
+CACHE, YOUNG, CACHED_CHARS, PIECE = 600_000, 100_000, 64, 6_000_000
 
 
 def tokenizer_path() -> str:
@@ -66,35 +66,35 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         if self.mark is None:
-            return [x.tobytes() for x in self._ids([w.decode() for w in words])]
+            return [x.tobytes() for x in self._ids(words)]
         out: list[bytes] = []
         for k in range(0, len(words), 512):
-            ids = self._ids([f" {self.MARK} ".join([w.decode() for w in words[k : k + 512]])])[0]
+            ids = self._ids([f" {self.MARK} ".join(words[k : k + 512])])[0]
             marks = np.flatnonzero(ids == self.mark) * 4
             raw = ids.tobytes()
             out += [raw[a:b] for a, b in zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)], strict=True)]
         return out
 
-    def _known(self, words: list[bytes]) -> list[bytes]:
+    def _known(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words. The cache fills with the words met first, among them all common ones; later words have
         a smaller cache that starts anew when it is full."""
         if len(self.young) > YOUNG:
             self.young = {}
-        mark, old, young = self.MARK.encode(), self.cache.get, self.young.get
-        out = [old(w) for w in words]
-        missed = [k for k, x in enumerate(out) if x is None]
-        for k in missed:
-            out[k] = young(words[k])
-        new = [k for k in missed if out[k] is None]
-        keep = self.cache if len(self.cache) < CACHE else self.young
-        plain = [k for k in new if len(words[k]) <= CACHED_BYTES and mark not in words[k]]
-        odd = [k for k in new if len(words[k]) > CACHED_BYTES or mark in words[k]]
+        out = list(map(self.cache.get, words))
+        new = [k for k, x in enumerate(out) if x is None]
+        if self.young:
+            for k in new:
+                out[k] = self.young.get(words[k])
+            new = [k for k in new if out[k] is None]
+        keep, mark = self.cache if len(self.cache) < CACHE else self.young, self.MARK
+        odd = {k for k in new if len(words[k]) > CACHED_CHARS or mark in words[k]}
+        plain = [k for k in new if k not in odd] if odd else new
         for k, x in zip(plain, self._encode_words([words[k] for k in plain]), strict=True):
             out[k] = keep[words[k]] = x
         for k in odd:
-            out[k] = self._ids([words[k].decode()])[0].tobytes()
+            out[k] = self._ids([words[k]])[0].tobytes()
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +104,14 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         which, ends = coded.indices.to_numpy(), np.asarray(split.offsets)
         ends = ends - ends[0]
-        known = self._known(coded.dictionary.cast(pa.binary()).to_pylist())
+        known = self._known(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        table, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
-        n = sizes[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])]
-        return ids, np.diff(upto[ends])
+        table, first, n = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes, sizes.astype(np.int32)[which]
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        kind = np.int32 if max(len(table), upto[-1]) < 1 << 31 else np.int64
+        at = np.repeat(first.astype(kind)[which] - upto[:-1].astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
+        return table[at], np.diff(upto[ends])
 
 
 def pieces_of(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -222,6 +223,7 @@ class Image:
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block: int = BLOCK, percentile: float = PERCENTILE, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the shards of docs, in ascending order of id, to the folder `path`."""
+    small_batches(docs.sparkSession)
     tokenizer = tokenizer or tokenizer_path()
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     src = src.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
