@@ -13,10 +13,9 @@ in Arrow batches, and the fold runs on those of a row that aren't in it. So `dic
 texts are never exploded and shuffled for encoding: each row is encoded where it is read. Decoding joins the bytes of
 the ids.
 
-Edge cases: null and empty texts have no ids and decode to no bytes; a very long text is taken in pieces; repeated rows
-and null ids of documents are rows like others; an empty table gives no row; other columns are carried along. Words are
-counted by java.util.regex and looked up by the regex library, whose tables of Unicode may be newer: a word that only
-the latter sees is folded, so the result is its.
+Edge cases: null and empty texts have no ids and decode to no bytes; repeated rows and null ids of documents are rows
+like others; an empty table gives no row; other columns are carried along. Pieces are split by java.util.regex with
+Unicode classes, so letters and digits added to Unicode after the JVM's version count as neither.
 """
 
 from __future__ import annotations
@@ -24,20 +23,19 @@ from __future__ import annotations
 import base64
 import json
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex as rx
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
-from .common import cut, documents, text_of
+from .common import cut, documents, small_batches, text_of
 
-DICTIONARY, LONG, PART, ROWS, MISSING = 800_000, 96, 1 << 16, 1000, "?"
+DICTIONARY, LONG, PART, MISSING = 800_000, 96, 300_000, "?"
 NO_RANK = 1 << 17
 
 
@@ -216,59 +214,56 @@ def common_words(docs: DataFrame, most: int, text_col: str = "text", regex: str
     return words.where(F.col("level") >= (least if least is not None else 1 << 30)).select("word", "n")
 
 
-class Known(dict):
-    """Ids by word; a word without them is put down in `missing`."""
+_known: dict[str, pa.Table] = {}
 
-    missing: list[str]
 
-    def __missing__(self, word: str) -> str:
-        self.missing.append(word)
-        return MISSING
-
-    def look_up(self, words: Iterable[str]) -> str:
-        """Ids of the words, joined by spaces, with MISSING for those that aren't known."""
-        return " ".join(map(self.__getitem__, words))
-
-
-_known: dict[str, Known] = {}
-
-
-def known(key: str, sent) -> Known:
-    """The broadcast dictionary in this Python worker, which keeps the last one."""
+def known(key: str, sent) -> pa.Table:
+    """The broadcast dictionary (word, ids) in this Python worker, which keeps the last one, as Arrow columns over the
+    bytes that were sent."""
     if key not in _known:
         _known.clear()
         with pa.ipc.open_stream(sent.value) as stream:
-            table = stream.read_all()
-        _known[key] = Known(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
+            _known[key] = stream.read_all()
     return _known[key]
 
 
+def look_up(lists: pa.ListArray, words: pa.Array, ids: pa.Array) -> Iterator[tuple[int, int, pa.Array, pa.ListArray]]:
+    """For lists of words, some at a time (from, to): their ids, joined by spaces, with MISSING for words that aren't known,
+    and lists of these. Each distinct word is looked up once."""
+    coded, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    found = pc.index_in(coded.dictionary, value_set=words)
+    told, unknown = pc.fill_null(ids.take(found), MISSING), found.is_null().to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(lists):  # a row at least, and PART words at about
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + PART, side="right")) - 1)
+        own, places = coded.indices.slice(ends[start], ends[end] - ends[start]), ends[start : end + 1] - ends[start]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(places, pa.int32()), told.take(own)), " ")
+        missing = unknown[own.to_numpy()]
+        before = np.concatenate([[0], np.cumsum(missing, dtype=np.int32)])
+        yield start, end, joined, pa.ListArray.from_arrays(pa.array(before[places], pa.int32()), coded.dictionary.take(own.filter(pa.array(missing))))
+        start = end
+
+
 def looked_up(docs: DataFrame, words: DataFrame, row: Column, text: Column, regex: str) -> DataFrame:
-    """row, partial (see Known) and missing of each row of docs; words: word, ids."""
+    """row, partial and missing (see look_up) of each row of docs; words: word, ids."""
     spark = docs.sparkSession
-    table, sink = words.toArrow(), pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    small_batches(spark)
+    table, sink = words.toArrow().combine_chunks(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     sent, key = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
     del table, sink
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, compiled = known(key, sent), rx.compile(regex)
+        dictionary = known(key, sent)
+        own, ids = (dictionary.column(c).chunk(0) if dictionary.num_rows else pa.array([], pa.string()) for c in ("word", "ids"))
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
-                partial, missing = [], []
-                for t in batch.column("text").to_pylist():
-                    ids.missing = []
-                    if len(t) <= 4 * PART:
-                        partial.append(ids.look_up(compiled.findall(t)))
-                    else:
-                        matches = (m[0] for m in compiled.finditer(t))
-                        partial.append(" ".join(iter(lambda: ids.look_up(islice(matches, PART)), "")))  # noqa: B023
-                    missing.append(ids.missing)
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(partial, pa.string()), pa.array(missing, pa.list_(pa.string()))], names=["row", "partial", "missing"])
-
-    src = docs.select(row.alias("row"), text.alias("text"))
+            for start, end, *found in look_up(whole.column("words"), own, ids):
+                yield pa.RecordBatch.from_arrays([whole.column("row").slice(start, end - start), *found], names=["row", "partial", "missing"])
+            whole = found = None
+            pa.default_memory_pool().release_unused()
+
+    src = docs.select(row.alias("row"), pieces(text, regex).alias("words"))
     kind = src.schema["row"].dataType.simpleString()
     return src.mapInArrow(go, f"row {kind}, partial string, missing array<string>")
 
