@@ -255,7 +255,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_c
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), text_of(text_col).alias("text")).withColumn("t_key", F.xxhash64("text"))
     texts = own.select("id", "doc_id", "text_key").join(texts, (F.col("doc_id") == F.col("t_id")) & (F.col("text_key") == F.col("t_key"))).select("id", "text")
     texts = written(texts, "clustered")  # texts of clusters only, from which every comparison takes its own
-    found = full_comparison(own.select("cluster", "id", "n"), texts, percent, words, block_docs)
+    found = cut(full_comparison(own.select("cluster", "id", "n"), texts, percent, words, block_docs))  # else a task would hold two Python workers
 
     member = rows.where("n > 0").select("doc_id", *keys).join(reps.select(*(F.col(k).alias(f"r_{k}") for k in keys), "id"), [F.col(k) == F.col(f"r_{k}") for k in keys], "left").select("doc_id", "n", "id")
     heads = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("doc_id", "head")
