@@ -74,10 +74,10 @@ def likeness(a: Sketch, b: Sketch) -> float:
 
 
 def containment(a: Sketch, b: Sketch) -> float:
-    """Share of a that b holds; 1 if a holds nothing."""
+    """Share of a that b holds: 1 if a is of an empty set, 0 if a has no hash below b's threshold, so that nothing tells."""
     t = min(a[0], b[0])
     x = below(a, t)
-    return len(np.intersect1d(x, below(b, t), assume_unique=True)) / len(x) if len(x) else 1.0
+    return len(np.intersect1d(x, below(b, t), assume_unique=True)) / len(x) if len(x) else float(not len(a[1]))
 
 
 def merged(*prints: Sketch) -> Sketch:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "chat_format", "embedding_dedup", "line_dedup", "minhash_dedup", "mixing", "sharding", "token_file", "toxicity", "exact_dedup", "lexical_search", "fingerprints")
+MODULES = ("bpe", "chat_format", "embedding_dedup", "line_dedup", "minhash_dedup", "mixing", "sharding", "token_file", "toxicity", "exact_dedup", "lexical_search", "fingerprints", "collocations")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:

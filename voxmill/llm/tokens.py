@@ -39,7 +39,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, of_token: np.ndarray | None, s
         while of_token is not None and b - a > size:  # then it's one row
             cut = a + size
             while cut < b and of_token[data[cut]]:
-                gap = np.flatnonzero(~of_token[data[cut : cut + 4096]])
+                gap = np.flatnonzero(~of_token[data[cut : min(b, cut + 4096)]])
                 cut = cut + int(gap[0]) if len(gap) else min(b, cut + 4096)
             yield k, data[a:cut], np.array([0, cut - a])
             a = cut
