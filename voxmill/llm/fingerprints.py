@@ -7,10 +7,11 @@ LEAST smallest, or all there are. A fingerprint is its threshold and its hashes;
 thresholds, where both are complete, and merge by union there. As text: base64 of 48-bit numbers, the threshold less 1
 first, then the hashes, ascending. Likeness is the share of the union that both hold (Jaccard), 1 for two empty sets.
 
-edited_fingerprints() gives each document beside one made from it and the next: rows are dealt by ranges of descending
-doc_id and sorted there, so texts move once; a task reads its rows as a stream and holds a few. Only the two rows at the
-ends of each range are joined again, on their own. Null ids come last; rows of one id go by a hash of the text, then by
-their place in the input, so that neither nulls nor repeated rows gather in one range.
+edited_fingerprints() gives each document beside one made from it and the next. A pass over numbers alone finds the
+bounds of ranges of descending doc_id (four a shuffle partition: so many keys of three numbers are broadcast). Then the
+texts move once, each to its range, the first of a range to the one before it as well; a task reads its sorted rows as a
+stream and holds a few. Null ids come last and rows of one id go by a hash of the text, so null ids are many ranges; rows
+that agree in both follow each other in one range.
 
 Edge cases: a null text is empty, and an empty text has an empty set; equal texts have equal fingerprints; a row that is
 alone is its own next; an empty table gives no row; other columns are ignored.
@@ -19,17 +20,19 @@ alone is its own next; an empty table gives no row; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, written
+from .common import documents, text_of
 from .shingles import shingle_sets
 
 SCALE, LEAST, ALL, SOME = 8, 16, 1 << 48, 4 << 20
@@ -86,99 +89,82 @@ def merged(*prints: Sketch) -> Sketch:
     return t, reduce(np.union1d, (below(p, t) for p in prints))
 
 
-class Stream:
-    """Rows in order, each told with the row after it."""
+TOLD = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_edited double"
+NAMES = [x.split()[0] for x in TOLD.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+#: What rows are ordered by: ids descending, null last; rows of one id by their text.
+KEY = {"none": "doc_id IS NULL", "down": "~doc_id", "tie": "xxhash64(text)"}
 
-    def __init__(self, scale: int, least: int):
-        self.options = (scale, least)
-        self.first = self.last = None
 
-    def told(self, rows: list[tuple]) -> pa.RecordBatch:
-        """(key, text, sketch) of rows, each but the last beside the next."""
-        own, after = rows[:-1], rows[1:]
-        cut = [len(r[1]) // 3 for r in own]
-        edited = [r[1][: len(r[1]) - k] + s[1][:k] for r, s, k in zip(own, after, cut, strict=True)]
-        prints = sketches(edited, *self.options)
-        return batch_of(
-            [r[0] for r in own], ["told"] * len(own), [None] * len(own), [len(r[1]) for r in own], [hashlib.sha256(e.encode()).hexdigest() for e in edited],
-            [as_text(r[2]) for r in own], [as_text(p) for p in prints], [likeness(r[2], p) for r, p in zip(own, prints, strict=True)],
-            [likeness(r[2], s[2]) for r, s in zip(own, after, strict=True)], [containment(r[2], p) for r, p in zip(own, prints, strict=True)],
-        )
-
-    def add(self, keys: list[tuple], texts: list[str]) -> pa.RecordBatch | None:
-        rows = list(zip(keys, texts, sketches(texts, *self.options), strict=True))
-        self.first = self.first or rows[0]
-        rows = [self.last, *rows] if self.last else rows
-        self.last = rows[-1]
-        return self.told(rows) if len(rows) > 1 else None
-
-
-KEY = "doc_id long, tie long, row long"
-TOLD = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_edited double"
-SCHEMA = f"{KEY}, kind string, text string, {TOLD}"
-
-
-def batch_of(keys: list[tuple], *columns: list) -> pa.RecordBatch:
-    names = ["kind", "text", *(x.split()[0] for x in TOLD.split(", "))]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
-    own = {k: pa.array([x[i] for x in keys], pa.int64()) for i, k in enumerate(("doc_id", "tie", "row"))}
-    return pa.record_batch(own | {n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)})
-
-
-def parts(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    """The keys and these columns of texts as lists, a few megabytes at a time."""
-    keys = list(zip(*(batch.column(k).to_pylist() for k in ("doc_id", "tie", "row")), strict=True))
-    size, start = 0, 0
-    sizes = sum(pc.binary_length(batch.column(n)).to_numpy().astype(np.int64) for n in names)
-    for k in range(batch.num_rows):
-        size += int(sizes[k])
-        if size >= SOME or k == batch.num_rows - 1:
-            yield keys[start : k + 1], *(batch.column(n).slice(start, k + 1 - start).to_pylist() for n in names)
-            size, start = 0, k + 1
-
-
-def neighbours(batches: Iterator[pa.RecordBatch], scale: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a range, told beside their next ones, and the texts of the first and the last."""
-    stream = Stream(scale, least)
+def dealt(batches: Iterator[pa.RecordBatch], bounds: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their range; the first row of each range goes, as `ahead`, to the range before it too."""
+    sent = set()
     for batch in batches:
-        for keys, texts in parts(batch, "text"):
-            if (out := stream.add(keys, texts)) is not None:
-                yield out
-    if stream.first:
-        ends = [stream.first, stream.last]
-        yield batch_of([x[0] for x in ends], ["first", "last"], [x[1] for x in ends], *([None, None] for _ in range(7)))
+        keys = list(zip(*(batch.column(k).to_pylist() for k in KEY), strict=True))
+        own = [bisect.bisect_right(bounds, k) - 1 for k in keys]
+        first = {r: i for i, (k, r) in reversed(list(enumerate(zip(keys, own, strict=True)))) if k == bounds[r] and r not in sent}
+        sent |= first.keys()
+        at = [*range(len(own)), *first.values()]
+        ranges = [*own, *((r - 1) % len(bounds) for r in first)]
+        ahead = [False] * len(own) + [True] * len(first)
+        out = batch.take(pa.array(at, pa.int64()))
+        yield out.append_column("range", pa.array(ranges, pa.int32())).append_column("ahead", pa.array(ahead, pa.bool_()))
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A few megabytes of texts at a time."""
+    start, ends = 0, np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64)
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SOME, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
-def pairs(batches: Iterator[pa.RecordBatch], scale: int, least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, texts, after in parts(batch, "text", "after"):
-            own, then = sketches(texts, scale, least), sketches(after, scale, least)
-            for row in zip(keys, texts, own, [None] * len(keys), after, then, strict=True):
-                yield Stream(scale, least).told([row[:3], row[3:]])
+def neighbours(batches: Iterator[pa.RecordBatch], scale: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Each row beside the next of its range; the rows of a range come in order, what is ahead of it last."""
+    before: list[tuple] = []
+    for batch in (p for b in batches for p in parts(b)):
+        texts = batch.column("text").to_pylist()
+        rows = [*before, *zip(*(batch.column(c).to_pylist() for c in ("range", "ahead", "doc_id")), texts, sketches(texts, scale, least), strict=True)]
+        both = [(a, b) for a, b in itertools.pairwise(rows) if a[0] == b[0] and not a[1]]
+        yield told([a[2:] for a, _ in both], [b[3:] for _, b in both], scale, least)
+        before = rows[-1:]
+
+
+def told(own: list[tuple], after: list[tuple], scale: int, least: int) -> pa.RecordBatch:
+    """Of (doc_id, text, sketch), each beside the next one's (text, sketch)."""
+    cuts = [len(text) // 3 for _, text, _ in own]
+    edited = [text[: len(text) - k] + more[:k] for (_, text, _), (more, _), k in zip(own, after, cuts, strict=True)]
+    prints = sketches(edited, scale, least)
+    columns = zip(*(
+        (i, len(text), hashlib.sha256(e.encode()).hexdigest(), as_text(s), as_text(p), likeness(s, p), likeness(s, t), containment(s, p))
+        for (i, text, s), (_, t), e, p in zip(own, after, edited, prints, strict=True)
+    ), strict=True)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns if own else [[]] * len(NAMES), KINDS, strict=True)], NAMES)
 
 
 def edited_fingerprints(docs: DataFrame, scale: int = SCALE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, held_edited (the share of
     the document's own shingles that the edited text holds)."""
+    spark = docs.sparkSession
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
-    order = (F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("row"))
-    dealt = (rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
-    found = written(dealt.mapInArrow(lambda x: neighbours(x, scale, least), SCHEMA), "fingerprints")
-
-    ends = found.where("kind <> 'told'")
-    across = Window.orderBy(*order, F.col("kind"))  # two rows of numbers a range
-    follow = ends.select("doc_id", "tie", "row", "kind").withColumn("after_row", F.coalesce(F.lead("row").over(across), F.first("row").over(across))).where("kind = 'last'")
-    lasts = follow.select("row", "after_row").join(ends.where("kind = 'last'").select("doc_id", "tie", "row", "text"), "row")
-    both = lasts.join(ends.where("kind = 'first'").select(F.col("row").alias("after_row"), F.col("text").alias("after")), "after_row")
-    joined = both.select("doc_id", "tie", "row", "text", "after").mapInArrow(lambda x: pairs(x, scale, least), SCHEMA)
-    return found.where("kind = 'told'").unionByName(joined).select("doc_id", *(x.split()[0] for x in TOLD.split(", ")))
+    rows = rows.withColumns({name: F.expr(e) for name, e in KEY.items()})
+    keys = rows.select(*KEY).repartitionByRange(ranges, *KEY).groupBy(F.spark_partition_id().alias("part"))
+    bounds = sorted(tuple(r.least) for r in keys.agg(F.min(F.struct(*KEY)).alias("least")).collect())
+    if not bounds:
+        return spark.createDataFrame([], TOLD)
+    sent = spark.sparkContext.broadcast(bounds)
+    spread = rows.mapInArrow(lambda x: dealt(x, sent.value), "doc_id long, text string, none boolean, down long, tie long, range int, ahead boolean")
+    ordered = spread.repartition("range").sortWithinPartitions("range", "ahead", *KEY)
+    return ordered.mapInArrow(lambda x: neighbours(x, scale, least), TOLD)
 
 
 def shingle_table(prints: DataFrame, by: str, column: str = "fingerprint") -> DataFrame:
     """by, hash: the merged fingerprints of each group as rows, which can be merged further by union and distinct, and
     joined: a group of any size stays distributed. Only hashes below the fixed fraction, which all fingerprints hold."""
-    hashes = F.transform(F.sequence(F.lit(0), F.length(column) / 8 - 1), lambda k: F.hex(F.unbase64(F.substring(F.col(column), (k * 8 + 1).cast("int"), F.lit(8)))))
+    hashes = F.transform(F.sequence(F.lit(0), (F.length(column) / 8).cast("int") - 1), lambda k: F.hex(F.unbase64(F.substring(F.col(column), k * 8 + 1, F.lit(8)))))
     rows = prints.select(F.col(by), F.explode(F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0)))).alias("hash"))
     return rows.where(F.col("hash") < f"{ALL // SCALE:012X}").distinct()
 
