@@ -17,7 +17,7 @@ from voxmill.operators import transcripts as R
 from voxmill.plans import backends as B
 from voxmill.plans import queries as Q
 from voxmill.plans import stages as P
-from voxmill.sources import bundles, media
+from voxmill.sources import bundles, filesink, media
 from voxmill.streaming import drops
 
 DATA = "/root/testdata/sf0.001"
@@ -65,7 +65,7 @@ def test_preprocess_to_synthesis(spark, inbox, tmp_path):
     assert {r.status for r in B.submitted(requests).collect()} == {"pending"}
 
     out = str(tmp_path / "bundles")
-    assert media.write_files(bundles.bundle_files(requests, voices, "2024-01-01T00:00:00Z"), out).count() == 10
+    assert filesink.write_files(bundles.bundle_files(requests, voices, "2024-01-01T00:00:00Z"), out).count() == 10
     manifest = json.load(open(f"{out}/j1/manifest.json"))
     assert manifest["metadata"] == {"bundle_version": "1.0", "job_id": "j1", "created_at": "2024-01-01T00:00:00Z"}
     assert os.path.isdir(f"{out}/j1/output") and os.path.isdir(f"{out}/j1/logs")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.schemas import ASR_OUTPUT, ASR_SEGMENT
 from ..operators.validation import stage_result
 from ..sources.bundles import load_bundles, read_results, request_documents, result_documents
-from ..sources.media import probe_wav, wav_bytes, write_files
+from ..sources.filesink import write_files
+from ..sources.media import probe_wav, wav_bytes
 from ..sources.shared import written_once
 
 
@@ -279,12 +280,12 @@ def run_bundles(spark: SparkSession, root: str, backend: Synthesiser) -> DataFra
     rate = bundles.select("job_id", F.col("output_sample_rate").alias("rate"))
     results = results_of(made).join(rate, "job_id").withColumn("sample_rate", F.col("rate"))
     documents = result_documents(results).select("job_id", F.lit("output/synthesis_result.json").alias("path"), F.col("json").cast("binary").alias("content"))
-    write_files(made.where("content is not null").select("job_id", F.col("audio_path").alias("path"), "content").unionByName(documents), root).count()
+    write_files(made.where("content is not null").select("job_id", F.col("audio_path").alias("path"), "content").unionByName(documents), root)
     return stage_results_of(made)
 
 
 class FolderExchange:
-    """Requests and results as documents below a folder that all executors have mounted: job_id/synthesis_request.json out,
+    """Requests and results as documents below a folder of any store: job_id/synthesis_request.json out,
     job_id/synthesis_result.json in."""
 
     def __init__(self, root: str):
@@ -293,7 +294,7 @@ class FolderExchange:
     def export_requests(self, requests: DataFrame) -> DataFrame:
         """Writes the requests; a pending stage result per job until its result is there."""
         files = request_documents(requests).select("job_id", F.lit("synthesis_request.json").alias("path"), F.col("json").cast("binary").alias("content"))
-        write_files(files, self.root).count()
+        write_files(files, self.root)
         return submitted(requests)
 
     def import_results(self, spark: SparkSession) -> DataFrame:

@@ -16,7 +16,8 @@ from ..operators import segments as S
 from ..operators import transcripts as R
 from ..operators import validation as V
 from ..sources import bundles as D
-from ..sources.media import wav_bytes, write_files
+from ..sources.filesink import write_files
+from ..sources.media import wav_bytes
 from ..sources.shared import work_folder
 from . import backends as B
 from . import stages as P
@@ -373,10 +374,10 @@ def pending_jobs(spark, sf_dir):
 
 
 def stored_bundles(spark: SparkSession, sf_dir: str, rate: int = 200) -> str:
-    """Bundles of all jobs in a folder that is mounted everywhere."""
-    root = work_folder(spark, "bundles").removeprefix("file:")
+    """Bundles of all jobs in a folder of the shared store."""
+    root = work_folder(spark, "bundles")
     asked = requests(spark, sf_dir, rate)
-    write_files(D.bundle_files(asked, asked.select("job_id", F.encode("job_id", "UTF-8").alias("content")), "2024-01-01T00:00:00Z"), root).count()
+    write_files(D.bundle_files(asked, asked.select("job_id", F.encode("job_id", "UTF-8").alias("content")), "2024-01-01T00:00:00Z"), root)
     return root
 
 

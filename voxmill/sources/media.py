@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import shutil
 import subprocess
 import time
@@ -98,20 +97,24 @@ def probed(content: bytes | None, prober: Callable[[bytes], dict | None]) -> dic
         return {}
 
 
+def samples_of(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Samples (frames x channels, int16 scale) of PCM data of 8, 16, 24 or 32 bits; what is no whole frame goes."""
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 1:
+        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) * 256
+    elif width == 3:  # three bytes, the last with the sign, below a byte of zeros
+        x = np.zeros((len(raw) // 3, 4), np.uint8)
+        x[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = x.view("<i4")[:, 0] / 65536
+    else:
+        x = np.frombuffer(raw, "<i2").astype(np.float64) if width == 2 else np.frombuffer(raw, "<i4") / 65536
+    return x.reshape(-1, channels)
+
+
 def read_pcm(content: bytes) -> tuple[np.ndarray, int]:
-    """Samples (frames x channels, int16 scale) and rate of a PCM WAV file of 8, 16, 24 or 32 bits."""
+    """Samples (frames x channels, int16 scale) and rate of a PCM WAV file."""
     with wave.open(io.BytesIO(content)) as w:
-        raw, width, channels = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()
-        raw = raw[: len(raw) // (width * channels) * width * channels]
-        if width == 1:
-            x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) * 256
-        elif width == 3:  # three bytes, the last with the sign, below a byte of zeros
-            x = np.zeros((len(raw) // 3, 4), np.uint8)
-            x[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-            x = x.view("<i4")[:, 0] / 65536
-        else:
-            x = np.frombuffer(raw, "<i2").astype(np.float64) if width == 2 else np.frombuffer(raw, "<i4") / 65536
-        return x.reshape(-1, channels), w.getframerate()
+        return samples_of(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()), w.getframerate()
 
 
 def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
@@ -126,12 +129,16 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def low_passed(x: np.ndarray, cutoff: float, half: int = 32) -> np.ndarray:
-    """Without what lies above `cutoff` (a share of the sampling rate), by a windowed sinc."""
+def kernel_of(cutoff: float, half: int = 32) -> np.ndarray:
+    """A windowed sinc that takes away what lies above `cutoff` (a share of the sampling rate); of odd length."""
     half = int(np.ceil(half * 0.5 / cutoff))
     k = np.arange(-half, half + 1)
     kernel = 2 * cutoff * np.sinc(2 * cutoff * k) * np.hanning(len(k) + 2)[1:-1]
-    kernel /= kernel.sum()
+    return kernel / kernel.sum()
+
+
+def low_passed(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    half = len(kernel) // 2
     padded = np.pad(x, ((half, half), (0, 0)), mode="edge")
     return np.stack([np.convolve(padded[:, c], kernel, "valid") for c in range(x.shape[1])], axis=1)
 
@@ -143,16 +150,21 @@ def convert(content: bytes, rate: int = 16000, channels: int = 1, decoder: Calla
         x = np.repeat(x.mean(axis=1, keepdims=True), channels, axis=1)
     if old != rate and len(x):
         if old > rate:
-            x = low_passed(x, 0.5 * rate / old)
+            x = low_passed(x, kernel_of(0.5 * rate / old))
         at = np.arange(round(len(x) * rate / old)) * old / rate
         x = np.stack([np.interp(at, np.arange(len(x)), x[:, c]) for c in range(channels)], axis=1)
     return wav_bytes(x, rate)
 
 
+def quiet_runs(x: np.ndarray, noise_db: float = NOISE_DB, full_scale: float = 32768.0) -> np.ndarray:
+    """All runs (start, end) of samples of one channel that are quieter than noise_db."""
+    quiet = np.abs(x) < full_scale * 10 ** (noise_db / 20)
+    return np.flatnonzero(np.diff(quiet.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+
+
 def silences_of(x: np.ndarray, rate: int, noise_db: float = NOISE_DB, seconds: float = MIN_SILENCE, full_scale: float = 32768.0) -> list[dict]:
     """Silences, in seconds, of one channel: quieter than noise_db for at least `seconds`."""
-    quiet = np.abs(x) < full_scale * 10 ** (noise_db / 20)
-    edges = np.flatnonzero(np.diff(quiet.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    edges = quiet_runs(x, noise_db, full_scale)
     edges = edges[edges[:, 1] - edges[:, 0] >= max(1, round(seconds * rate))]
     return [{"start": a / rate, "end": b / rate} for a, b in edges.tolist()]
 
@@ -198,22 +210,3 @@ def cut_chunks(jobs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"job_id": [b.column("job_id")[k].as_py()], "chunk_id": [i], "chunk_path": [f"chunk_{i:04d}.wav"], "start_ts": [s["start"]], "end_ts": [s["end"]], "content": [content]})
 
     return jobs.select("job_id", "audio", "segments").mapInArrow(go, "job_id string, chunk_id long, chunk_path string, start_ts double, end_ts double, content binary")
-
-
-def write_files(files: DataFrame, root: str) -> DataFrame:
-    """Writes files (job_id, path, content) to root/job_id/path, on a file system that all executors have mounted. Each is
-    written beside its place and moved there, so a repeated task overwrites whole files. A path that ends with / is a
-    folder. Returns job_id, path, size when it is evaluated."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                at = os.path.join(root, r["job_id"], r["path"])
-                os.makedirs(os.path.dirname(at), exist_ok=True)
-                if not at.endswith("/"):
-                    with open(f"{at}.{os.getpid()}.part", "wb") as f:
-                        f.write(r["content"] or b"")
-                    os.replace(f"{at}.{os.getpid()}.part", at)
-                yield pa.RecordBatch.from_pydict({"job_id": [r["job_id"]], "path": [r["path"]], "size": [len(r["content"] or b"")]})
-
-    return files.select("job_id", "path", "content").mapInArrow(go, "job_id string, path string, size long")
