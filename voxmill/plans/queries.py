@@ -16,8 +16,9 @@ from ..operators import segments as S
 from ..operators import transcripts as R
 from ..operators import validation as V
 from ..sources import bundles as D
+from ..sources import recordings as G
 from ..sources.filesink import write_files
-from ..sources.media import wav_bytes
+from ..sources.media import read_pcm, wav_bytes
 from ..sources.shared import work_folder
 from . import backends as B
 from . import stages as P
@@ -264,6 +265,62 @@ def recognised_chunks(spark, sf_dir):
     return segments.select("job_id", "segment_id", "chunk_id", "start_ts", "end_ts", "text", F.round("avg_logprob", 6).alias("avg_logprob"))
 
 
+# A recording per label: its vectors one after the other.
+SQL_LONG = """
+e AS (SELECT *, sum(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id) - len(embedding) AS before FROM embeddings WHERE label IS NOT NULL),
+x AS (SELECT label, before + unnest(range(len(embedding))) AS pos, least(greatest(round_even(unnest(embedding)::DOUBLE * 32767, 0), -32768), 32767)::BIGINT AS v FROM e),
+q AS (SELECT label, pos, pos - row_number() OVER (PARTITION BY label ORDER BY pos) AS run FROM x WHERE abs(v) < 32768 * pow(10, -1.5)),
+r AS (SELECT label, min(pos) AS a, max(pos) + 1 AS b FROM q GROUP BY label, run HAVING count(*) >= 4),
+j AS (SELECT label, max(pos) + 1 AS total FROM x GROUP BY label),
+g AS (
+  SELECT label, lag(b, 1, 0) OVER (PARTITION BY label ORDER BY a) AS a, a AS b FROM r
+  UNION ALL SELECT j.label, coalesce(max(r.b), 0), j.total FROM j LEFT JOIN r ON r.label = j.label GROUP BY j.label, j.total),
+speech AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY a) - 1 AS chunk_id FROM g WHERE b - a >= 2)"""
+
+
+def long_recordings(spark: SparkSession, sf_dir: str) -> str:
+    """A WAV file per label, written in pieces: a header, then a vector at a time."""
+    rows = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("label").cast("string").alias("job_id"), "vec_id", "embedding")
+
+    def pcm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.clip(np.rint(np.array(v.as_py(), np.float64) * 32767), -32768, 32767).astype("<i2").tobytes() for v in b.column("embedding")]
+            yield pa.RecordBatch.from_arrays([b.column("job_id"), b.column("vec_id"), pa.array(made, pa.binary())], names=["job_id", "piece", "content"])
+
+    data = rows.mapInArrow(pcm, "job_id string, piece long, content binary")
+    heads = rows.groupBy("job_id").agg(F.sum(F.size("embedding")).alias("n")).select("job_id", F.lit(-1).cast("long").alias("piece"), G.wav_header(F.col("n"), RATE, 1).alias("content"))
+    root = work_folder(spark, "recordings")
+    write_files(data.unionByName(heads).withColumn("path", F.lit("in.wav")), root)
+    return root
+
+
+@query(f"""
+WITH {SQL_LONG}
+SELECT label::VARCHAR AS job_id, total / 8.0 AS total_duration, (SELECT count(*) FROM r WHERE r.label = j.label) AS n_silences, (SELECT coalesce(sum(b - a), 0)::BIGINT FROM r WHERE r.label = j.label) AS silent_frames FROM j""")
+def range_silences(spark, sf_dir):
+    """Silences of whole recordings from what ranges of 500 bytes tell of themselves."""
+    found = G.recording_silences(G.read_ranges(spark, long_recordings(spark, sf_dir), rate=RATE, rangeBytes=500), RATE)
+    frames = F.aggregate("silences", F.lit(0.0), lambda n, s: n + (s.end - s.start) * RATE).cast("long")
+    return found.select("job_id", (F.col("total") / RATE).alias("total_duration"), F.size("silences").cast("long").alias("n_silences"), frames.alias("silent_frames"))
+
+
+@query(f"""
+WITH {SQL_LONG}
+SELECT s.label::VARCHAR AS job_id, chunk_id, printf('chunk_%04d.wav', chunk_id) AS chunk_path, s.a / 8.0 AS start_ts, s.b / 8.0 AS end_ts, count(*) AS frames, sum(v)::BIGINT AS total
+FROM speech s JOIN x ON x.label = s.label AND x.pos >= s.a AND x.pos < s.b GROUP BY ALL""")
+def range_chunks(spark, sf_dir):
+    """Chunks cut from the ranges that they touch, with the sum of their samples."""
+    pieces, _ = G.preprocess_recordings(spark, long_recordings(spark, sf_dir), RATE, rangeBytes=500)
+    keys = ["job_id", "chunk_id", "chunk_path", "start_ts", "end_ts"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [read_pcm(c.as_py())[0] for c in b.column("content")]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([len(v) for v in x], pa.int64()), pa.array([int(v.sum()) for v in x], pa.int64())], names=[*keys, "frames", "total"])
+
+    return G.whole_chunks(pieces).mapInArrow(sums, "job_id string, chunk_id long, chunk_path string, start_ts double, end_ts double, frames long, total long")
+
+
 def stored(docs: DataFrame, name: str) -> str:
     """Writes a document per job (job_id, json) to a folder of its own, and returns their paths' pattern."""
     path = work_folder(docs.sparkSession, name)

@@ -3,7 +3,7 @@
 Tasks write below root/_staging-ID, each attempt in a folder of its own, and report what they wrote. When all tasks are
 done, the commit moves the reported files to their places (a rename each, some at a time) and leaves a log
 root/_written-ID.jsonl; readers skip names with an underscore. A task that fails leaves nothing in sight, one that is
-repeated nothing twice, and a run that fails has its staging folder removed.
+repeated nothing twice, and a run that fails has its staging folder removed (but for what a task that is still being stopped writes there, out of sight).
 """
 
 from __future__ import annotations
