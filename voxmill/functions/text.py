@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .edits import distance, edits
+
 SPACE_CLASS = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 # Tags of the translation model for language codes.
@@ -36,26 +38,37 @@ def words(text: Column) -> Column:
     return F.when(one == "", F.array().cast("array<string>")).otherwise(F.split(one, " "))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def distance_of(a: Column, b: Column) -> Column:
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda s: distance(s.a, s.b))
+
+
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Word edits over reference words. Each distinct word of a pair becomes one code point above U+10000, so that
     levenshtein() counts words. Null where the reference has no words."""
 
-    def bind(value: Column, use) -> Column:  # use(value), with value worked out once
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def coded(own: Column, vocabulary: Column) -> Column:
         point = lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0x10000), 8, "0")
         return F.decode(F.unhex(F.array_join(F.transform(own, point), "")), "UTF-32")
 
     both = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
-    edits = lambda s: bind(F.array_distinct(F.concat(s.r, s.h)), lambda v: F.levenshtein(coded(s.r, v), coded(s.h, v)))
+    edits = lambda s: bind(F.array_distinct(F.concat(s.r, s.h)), lambda v: distance_of(coded(s.r, v), coded(s.h, v)))
     return bind(both, lambda s: F.when(F.size(s.r) > 0, edits(s) / F.size(s.r)))
 
 
+def word_edits(reference: Column, hypothesis: Column) -> Column:
+    """Substitutions, deletions and insertions of words, as a struct."""
+    return edits(words(reference), words(hypothesis))
+
+
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Character edits over reference characters, both stripped. Null where the reference is empty."""
-    r, h = strip(reference), strip(hypothesis)
-    return F.when(F.char_length(r) > 0, F.levenshtein(r, h) / F.char_length(r))
+    both = F.struct(strip(reference).alias("r"), strip(hypothesis).alias("h"))
+    return bind(both, lambda s: F.when(F.char_length(s.r) > 0, distance(s.r, s.h) / F.char_length(s.r)))
 
 
 def language_tag(code: Column) -> Column:

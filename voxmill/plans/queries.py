@@ -499,6 +499,26 @@ def wer(spark, sf_dir):
     return pairs(spark, sf_dir).select("job_id", "chunk_id", F.round(T.word_error_rate(F.col("text"), F.col("next_text")), 6).alias("wer"))
 
 
+@query(rf"""
+WITH RECURSIVE p AS ({SQL_PAIRS}),
+w AS (
+  SELECT job_id, chunk_id, list_filter(regexp_split_to_array({sql_strip('text')}, '{SPACE}'), lambda x: x <> '') AS r,
+    list_filter(regexp_split_to_array({sql_strip('next_text')}, '{SPACE}'), lambda x: x <> '') AS h
+  FROM p WHERE next_text IS NOT NULL),
+d AS (
+  SELECT job_id, chunk_id, r, h, 0 AS i, list_transform(range(len(h) + 1), lambda j: j * 1000000000000) AS row FROM w
+  UNION ALL
+  SELECT job_id, chunk_id, r, h, i + 1,
+    list_reduce(list_concat([[(i + 1) * 1000000000001]], list_transform(range(1, len(h) + 1), lambda j: [j])),
+      lambda a, x: list_append(a, least(row[x[1] + 1] + 1000000000001, a[x[1]] + 1000000000000, row[x[1]] + CASE WHEN h[x[1]] = r[i + 1] THEN 0 ELSE 1000001000000 END)))
+  FROM d WHERE i < len(r)),
+c AS (SELECT job_id, chunk_id, row[len(h) + 1] AS cost FROM d WHERE i = len(r))
+SELECT job_id, chunk_id, cost // 1000000 % 1000000 AS substitutions, cost % 1000000 AS deletions, cost // 1000000000000 - cost // 1000000 % 1000000 - cost % 1000000 AS insertions FROM c""")
+def word_edits(spark, sf_dir):
+    rows = pairs(spark, sf_dir).where("next_text is not null").select("job_id", "chunk_id", T.word_edits(F.col("text"), F.col("next_text")).alias("e"))
+    return rows.select("job_id", "chunk_id", "e.*")
+
+
 # DuckDB's levenshtein() counts bytes, so each character outside ASCII becomes a control character of its own.
 @query(rf"""
 WITH p AS ({SQL_PAIRS}),
@@ -525,9 +545,14 @@ d AS (
   SELECT job_id, r, h, i + 1,
     list_reduce(list_concat([[i + 1]], list_transform(range(1, len(h) + 1), lambda j: [j])),
       lambda a, x: list_append(a, least(row[x[1] + 1] + 1, a[x[1]] + 1, row[x[1]] + CASE WHEN h[x[1]] = r[i + 1] THEN 0 ELSE 1 END)))
-  FROM d WHERE i < len(r))
-SELECT d.job_id, CASE WHEN len(r) > 0 THEN round(row[len(h) + 1] / len(r), 6) END AS wer, round(p, 6)::DOUBLE AS avg_logprob, 1.0::DOUBLE AS avg_segment_duration
-FROM d JOIN lp ON lp.job_id = d.job_id WHERE i = len(r)""")
+  FROM d WHERE i < len(r)),
+u AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x7F]')) AS c FROM conversations),
+k AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM u),
+m AS (SELECT coalesce(string_agg(c, '' ORDER BY k), '') AS f, coalesce(string_agg(chr((CASE WHEN k < 9 THEN k WHEN k < 26 THEN k + 5 ELSE k + 100 END)::INTEGER), '' ORDER BY k), '') AS t FROM k),
+s AS (SELECT ref.job_id, {sql_strip('r')} AS r, {sql_strip('h')} AS h FROM ref JOIN hyp ON ref.job_id = hyp.job_id),
+cer AS (SELECT job_id, CASE WHEN length(r) > 0 THEN round(levenshtein(translate(r, f, t), translate(h, f, t)) / length(r), 6) END AS cer FROM s, m)
+SELECT d.job_id, CASE WHEN len(d.r) > 0 THEN round(row[len(d.h) + 1] / len(d.r), 6) END AS wer, cer, round(p, 6)::DOUBLE AS avg_logprob, 1.0::DOUBLE AS avg_segment_duration
+FROM d JOIN lp ON lp.job_id = d.job_id JOIN cer ON cer.job_id = d.job_id WHERE i = len(d.r)""")
 def transcript_quality(spark, sf_dir):
     """Transcripts against references that lack the first turn."""
     line = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i * 1.5).alias("start"), (i * 1.5 + 1).alias("end"), x.alias("text"), (-0.1 * (i + 1)).alias("avg_logprob")))
@@ -535,7 +560,7 @@ def transcript_quality(spark, sf_dir):
     own = F.array_sort(F.collect_list(F.struct("chunk_id", "role", "text")))
     references = turns(spark, sf_dir).where("chunk_id > 0").groupBy("job_id").agg(F.array_join(F.transform(own, lambda x: x.text), " ").alias("reference"))
     out = M.evaluate_transcripts(segments, references)
-    return out.select("job_id", *(F.round(c, 6).alias(c) for c in ("wer", "avg_logprob", "avg_segment_duration")))
+    return out.select("job_id", *(F.round(c, 6).alias(c) for c in ("wer", "cer", "avg_logprob", "avg_segment_duration")))
 
 
 @query("SELECT user_id AS job_id, round(coalesce(avg(value) FILTER (event_type <> 'error'), 0), 6) AS avg_logprob FROM events GROUP BY user_id")
