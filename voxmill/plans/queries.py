@@ -430,25 +430,38 @@ def pending_jobs(spark, sf_dir):
     return B.submitted(requests(spark, sf_dir, 24000)).select("job_id", "stage_name", "status", "attempt")
 
 
-def stored_bundles(spark: SparkSession, sf_dir: str, rate: int = 200) -> str:
+def stored_bundles(spark: SparkSession, sf_dir: str, rate: int = 200, zipped: bool = False) -> str:
     """Bundles of all jobs in a folder of the shared store."""
     root = work_folder(spark, "bundles")
     asked = requests(spark, sf_dir, rate)
-    write_files(D.bundle_files(asked, asked.select("job_id", F.encode("job_id", "UTF-8").alias("content")), "2024-01-01T00:00:00Z"), root)
+    files = D.bundle_files(asked, asked.select("job_id", F.encode("job_id", "UTF-8").alias("content")), "2024-01-01T00:00:00Z")
+    write_files(D.zip_bundles(files) if zipped else files, root)
     return root
 
 
-@query(f"""
+SQL_BUNDLES = f"""
 WITH {SQL_TRANSCRIPT}
 SELECT job_id, '1.0' AS bundle_version, 'hi' AS language, 200::BIGINT AS output_sample_rate, job_id::VARCHAR AS voice, count(*) AS n_segments, sha256(string_agg(text, chr(10) ORDER BY segment_id)) AS texts_sha256
-FROM tr GROUP BY job_id""")
-def bundle_files(spark, sf_dir):
-    """Bundles written, checked and read back, with the voice sample."""
-    back = D.load_bundles(spark, stored_bundles(spark, sf_dir), audio=True)
+FROM tr GROUP BY job_id"""
+
+
+def told_bundles(back: DataFrame) -> DataFrame:
     texts = F.array_join(F.transform("segments", lambda s: s.text), "\n")
     return back.select(F.col("job_id").cast("long").alias("job_id"), "bundle_version", "language", "output_sample_rate", F.decode("reference_audio", "UTF-8").alias("voice"), F.size("segments").cast("long").alias("n_segments"), F.sha2(texts, 256).alias("texts_sha256"))
 
 
+@query(SQL_BUNDLES)
+def bundle_files(spark, sf_dir):
+    """Bundles written, checked and read back, with the voice sample."""
+    return told_bundles(D.load_bundles(spark, stored_bundles(spark, sf_dir), audio=True))
+
+
+@query(SQL_BUNDLES)
+def zipped_bundles(spark, sf_dir):
+    """The same by way of zip archives, of which the members are read where they are."""
+    return told_bundles(D.load_bundles(spark, stored_bundles(spark, sf_dir, zipped=True), audio=True, zipped=True))
+
+
 @query(f"WITH {SQL_TRANSCRIPT} SELECT job_id, 'tts' AS stage_name, 'done' AS status, count(*)::DOUBLE AS num_segments, 0.0::DOUBLE AS failed_segments FROM tr GROUP BY job_id")
 def worker_run(spark, sf_dir):
     """Bundles to results, by the worker and a synthesiser of tones."""

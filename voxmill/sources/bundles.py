@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.schemas import BUNDLE_MANIFEST, MANIFEST_ENTRY, SYNTHESIS_REQUEST, SYNTHESIS_RESULT, parsed
 from ..operators.validation import missing_files, version_checked
 from .media import list_files
+from .zips import read_zips
 
 VERSION = "1.0"
 MANIFEST, REQUEST, REFERENCE = "manifest.json", "request/synthesis_request.json", "request/reference.wav"
@@ -88,22 +90,32 @@ def zip_bundles(files: DataFrame) -> DataFrame:
     return files.select("job_id", "path", "content").groupBy("job_id").applyInPandas(pack, "job_id string, path string, content binary")
 
 
-def load_bundles(spark: SparkSession, root: str, audio: bool = False) -> DataFrame:
-    """Requests of the bundles below root/job_id, after their checks: all required files, the version, whole documents.
-    audio: with the voice sample as reference_audio. Only the files that are asked for are read."""
-    paths = list_files(spark, root).select("path")
+def folder_files(spark: SparkSession, root: str) -> tuple[DataFrame, Callable[[str], DataFrame]]:
+    """job_id and file of all bundles' files below root/job_id, and what reads one of the files (job_id, content)."""
     parts = F.split("path", "/")
     inside = F.element_at(parts, -2) == "request"
     name = [F.when(inside, F.get(parts, F.size(parts) - 3)).otherwise(F.element_at(parts, -2)).alias("job_id"), F.when(inside, F.concat(F.lit("request/"), F.element_at(parts, -1))).otherwise(F.element_at(parts, -1)).alias("file")]
-    there = paths.select(*name)
-    lacking = missing_files(there.where(F.col("file").isin(*REQUIRED)), there, REQUIRED).limit(1).collect()
-    if lacking:
-        raise FileNotFoundError(f"Missing required bundle file: {lacking[0].job_id}/{lacking[0].file}")
 
     def read(file: str) -> DataFrame:
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file.split("/")[-1]).load(root)
         return rows.select(*name, "content").where(F.col("file") == file).select("job_id", "content")
 
+    return list_files(spark, root).select("path").select(*name), read
+
+
+def zipped_files(spark: SparkSession, root: str) -> tuple[DataFrame, Callable[[str], DataFrame]]:
+    """The same of bundles in zip archives below root: only the members that are asked for are read."""
+    return read_zips(spark, root, REQUIRED, names=True).select("job_id", F.col("path").alias("file")), lambda file: read_zips(spark, root, (file,)).select("job_id", "content")
+
+
+def load_bundles(spark: SparkSession, root: str, audio: bool = False, zipped: bool = False) -> DataFrame:
+    """Requests of the bundles below root, folders or zip archives, after their checks: all required files, the version,
+    whole documents. audio: with the voice sample as reference_audio. Only the files that are asked for are read."""
+    there, read = (zipped_files if zipped else folder_files)(spark, root)
+    lacking = missing_files(there.where(F.col("file").isin(*REQUIRED)), there, REQUIRED).limit(1).collect()
+    if lacking:
+        raise FileNotFoundError(f"Missing required bundle file: {lacking[0].job_id}/{lacking[0].file}")
+
     manifests = read(MANIFEST).select("job_id", parsed(F.col("content").cast("string"), BUNDLE_MANIFEST).alias("m"))
     manifests = manifests.select("job_id", version_checked(F.col("m.metadata.bundle_version")).alias("bundle_version"))
     requests = read(REQUEST).select("job_id", parsed(F.col("content").cast("string"), SYNTHESIS_REQUEST).alias("r"))
