@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.schemas import SYNTHESIS_REQUEST, parsed
 from ..operators import metrics as M
+from ..operators import overlaps as O
 from ..operators import segments as S
 from ..operators import transcripts as R
 from ..operators import validation as V
@@ -40,6 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}|{SPACE}$', '', 'g')"
+
+
 # -- tables as jobs -----------------------------------------------------------------------------------------------
 
 START = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) / 1000000"
@@ -365,6 +373,23 @@ def output_collision(spark, sf_dir):
     return R.colliding_outputs(transcript(spark, sf_dir))
 
 
+@query(rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({sql_strip('text')}, '{SPACE}'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS k FROM w),
+h AS (SELECT doc_id, count(*) FILTER (4 * k >= 290 AND 4 * k % 290 <= 6 AND 4 * k // 290 * 290 + 10 < 4 * n) AS n_repeated FROM k GROUP BY doc_id)
+SELECT w.doc_id AS job_id, len(w)::BIGINT AS n_words, coalesce(n_repeated, 0) AS n_repeated, sha256(array_to_string(w, ' ')) AS words_sha256 FROM w LEFT JOIN h ON h.doc_id = w.doc_id""")
+def words_heard_once(spark, sf_dir):
+    """Documents as recordings of 0.4 s a word, heard by overlapping windows, and put together again."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("job_id"), T.words(F.col("text")).alias("all"))
+    rows = docs.select("job_id", "all", F.posexplode_outer(S.fixed_windows(F.size("all") * 0.4)).alias("chunk_id", "s"))
+    first, last = F.ceil(F.col("s.start") / 0.4), F.floor(F.round(F.col("s.end") / 0.4, 6))
+    own = F.transform(F.slice("all", (first + 1).cast("int"), (last - first).cast("int")), lambda w, i: F.struct(w.alias("word"), ((i + first) * 4 / 10).alias("start"), ((i + first + 1) * 4 / 10).alias("end")))
+    heard = rows.select("job_id", F.coalesce("chunk_id", F.lit(0)).alias("chunk_id"), F.col("s.start").alias("start_ts"), F.col("s.end").alias("end_ts"), F.when(F.col("s").isNotNull(), own).cast(O.WORD).alias("words"))
+    out = O.heard_once(heard).groupBy("job_id").agg(F.sum("n_repeated").alias("n_repeated"), F.array_sort(F.collect_list(F.struct("chunk_id", "words"))).alias("all"))
+    said = F.flatten(F.transform("all", lambda x: F.transform(x.words, lambda w: w.word)))
+    return out.select("job_id", F.size(said).cast("long").alias("n_words"), "n_repeated", F.sha2(F.array_join(said, " "), 256).alias("words_sha256"))
+
+
 @query("SELECT source AS job_id, coalesce(arg_min(lang, doc_id), 'unknown') AS language, round(coalesce(arg_min(n_chars / (n_chars + 100.0), doc_id), 0), 6)::DOUBLE AS language_probability FROM documents GROUP BY source")
 def job_language(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("language"), (F.col("n_chars") / (F.col("n_chars") + 100.0)).alias("language_probability"))
@@ -482,13 +507,6 @@ def result_files(spark, sf_dir):
 
 # -- metrics ------------------------------------------------------------------------------------------------------
 
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
-
-
-def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{SPACE}|{SPACE}$', '', 'g')"
-
-
 @query(f"WITH {SQL_TRANSCRIPT} SELECT job_id, sha256(string_agg({sql_strip('text')}, ' ' ORDER BY segment_id)) AS hypothesis_sha256 FROM tr GROUP BY job_id")
 def hypothesis_concat(spark, sf_dir):
     return transcript(spark, sf_dir).groupBy("job_id").agg(F.sha2(M.hypothesis(F.col("segment_id"), F.col("text")), 256).alias("hypothesis_sha256"))
