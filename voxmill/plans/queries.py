@@ -21,6 +21,7 @@ from ..sources import recordings as G
 from ..sources.filesink import write_files
 from ..sources.media import read_pcm, wav_bytes
 from ..sources.shared import work_folder
+from ..streaming import attempts as A
 from . import backends as B
 from . import stages as P
 
@@ -631,3 +632,30 @@ def waveform_length(spark, sf_dir):
 def quality_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("lang", "source", F.col("n_chars").alias("mean_chars"))
     return M.quality_rollup(rows, "lang", "source", values=("mean_chars",)).withColumn("mean_chars", F.round("mean_chars", 6))
+
+
+# -- streams ------------------------------------------------------------------------------------------------------
+
+@query("""
+WITH e AS (
+  SELECT user_id || '-' || event_id % 8 AS job_id, epoch_ms(ts::TIMESTAMP) AS t, event_id, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'error' ELSE 'start' END AS kind FROM events),
+w AS (SELECT max(t) - 600000 AS w FROM e),
+l AS (SELECT job_id, list({'t': t, 'kind': kind, 'status': '', 'attempt': 0, 'deadline': 0::BIGINT} ORDER BY t, event_id) AS x FROM e GROUP BY job_id),
+f AS (
+  SELECT job_id, list_reduce(list_concat([{'t': 0::BIGINT, 'kind': '', 'status': 'pending', 'attempt': 0, 'deadline': 0::BIGINT}], list_append(x, {'t': w, 'kind': 'end', 'status': '', 'attempt': 0, 'deadline': 0::BIGINT})),
+    lambda a, y: list_transform([CASE WHEN a.status = 'running' AND y.t > a.deadline THEN CASE WHEN a.attempt >= 3 THEN 'failed' ELSE 'retrying' END ELSE a.status END], lambda s: {
+      't': y.t, 'kind': y.kind,
+      'status': CASE WHEN y.kind = 'start' AND s IN ('pending', 'retrying') THEN 'running' WHEN y.kind = 'ok' AND s = 'running' THEN 'done'
+        WHEN y.kind = 'error' AND s = 'running' THEN CASE WHEN a.attempt >= 3 THEN 'failed' ELSE 'retrying' END ELSE s END,
+      'attempt': a.attempt + CASE WHEN y.kind = 'start' AND s IN ('pending', 'retrying') THEN 1 ELSE 0 END,
+      'deadline': CASE WHEN y.kind = 'start' AND s IN ('pending', 'retrying', 'running') THEN y.t + 172800000 ELSE a.deadline END})[1]) AS r
+  FROM l, w)
+SELECT job_id, r.status AS status, r.attempt AS attempt FROM f""")
+def attempts_replayed(spark, sf_dir):
+    """Events as starts and ends of attempts, through the state machine: attempts expire after two days, three are made."""
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    kind = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "error").otherwise("start")
+    events = rows.select(F.concat_ws("-", "user_id", F.col("event_id") % 8).alias("job_id"), F.col("ts").cast("timestamp").alias("at"), "event_id", kind.alias("kind"))
+    at = work_folder(spark, "attempts")
+    A.run_attempts(A.attempt_log(events, 2 * 86_400_000), f"{at}/log", f"{at}/checkpoint")
+    return A.last_states(spark, f"{at}/log")
