@@ -250,6 +250,33 @@ def test_mixing_in_many_shards(spark, ids):
         assert sorted(map(repr, (x[1:] for x in out))) == sorted(map(repr, (x[1:] for x in again)))
 
 
+def filled(sizes, weights, total):
+    """Targets by bisection: what a level gives each by weight, twice its size at most."""
+    low, high = 0.0, 10.0 * total + 10
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * s, mid * w) for s, w in zip(sizes, weights, strict=True)) < total else (low, mid)
+    return [min(2 * s, high * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+@pytest.mark.parametrize("sources,docs,size", [(30_000, 4, 2500), (200_000, 1, 400)])
+def test_mixing_of_many_sources(spark, sources, docs, size):
+    """Equal sources, each near its target, which an independent loop gives as well."""
+    rows = spark.range(sources * docs).select(F.col("id").alias("row_id"), F.col("id").alias("doc_id"), F.format_string("s%07d", F.col("id") % sources).alias("source"), F.lit(size).cast("long").alias("size"), F.xxhash64("id").alias("h"))
+    out = mixing.mix_rows(rows).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).toPandas().sort_values("source")
+    want = np.array(filled([size * docs] * sources, [(5, 2, 1)[k % 3] for k in range(sources)], 1.5 * size * docs * sources))
+    assert len(out) == sources and np.allclose(out.target, want) and out.most.max() <= 2
+    assert (np.abs(out.taken - want) <= np.maximum(32, 0.01 * want)).all()
+
+
+def test_targets_by_another_way():
+    r = random.Random(6)
+    for _ in range(60):
+        sizes = [r.choice([0, 1, 7, 1000, r.randrange(10**6)]) for _ in range(r.randrange(1, 12))]
+        weights = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
+        assert np.allclose(mixing.targets(sizes, weights), filled(sizes, weights, 1.5 * sum(sizes)), rtol=1e-6, atol=1e-3)
+
+
 def test_apportionment():
     r = np.random.default_rng(5)
     for _ in range(50):
@@ -309,9 +336,11 @@ def test_sharding(spark, tmp_path):
         assert len(total) == 8 and total.max() / total.min() < 1.005
         assert out.groupby("text_crc32").shard.nunique().max() == 1 and set(out.law) == {"bytes"}
     assert sharding.pack_shards(empty(spark)).count() == 0
-    docs = table(spark, [r for r in data if r[0] is not None and r[0] % 2]).dropDuplicates(["doc_id"]).drop("shard")
+    docs = table(spark, [r for r in data if r[0] is not None and r[0] % 2]).dropDuplicates(["doc_id"])
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == docs.count() and set(back.columns) == {*docs.columns, "row_shard", "slot"}
+    assert sorted(back.select("row_shard").toPandas().row_shard.fillna("").tolist()) == sorted(docs.select("shard").toPandas().shard.fillna("").tolist())
 
 
 def auc(scores, truth):

@@ -166,3 +166,15 @@ def test_chat_with_clashing_columns_and_long_texts(spark, tmp_path):
         assert got[conv].n_turns == len(own) and got[conv].turns_sha256 == sha("".join(f"{r[2]}\n{r[3]}\n" for r in own))
         loss = "".join(r[3] for r in own if r[2] == "assistant")
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
+
+
+def test_segments_read_their_own_rows(spark):
+    """The passes of a segment read its folder, whatever the number of segments."""
+    rows = spark.range(4000).select(F.col("id").alias("row_id"), F.xxhash64("id").alias("h"))
+    for segments in (1, 8, 64):
+        table = X.segmented(rows, segments)
+        assert table.count() == 4000
+        plan = table.where("segment = 0")._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(segment" in plan
+        files = {r.f for r in table.where("segment = 0").select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+        assert files and all("/segment=0/" in f for f in files)

@@ -8,8 +8,8 @@ or more rows set (all of its bits, where some bit was set three times). Pass 2 s
 segment: a row with a bit that no other row set has no equal, and passes straight through without a shuffle. Only the
 others are grouped by their digest.
 
-A filter is a broadcast of filter_bits / 64 words at most (2**21 by default), whatever the table's size. The rounds, 16
-bits a row by filter_bits, read one number per row each; a cluster with more memory for broadcasts sets filter_bits
+A filter is a broadcast of filter_bits / 64 words at most (2**21 by default), whatever the table's size. Rows are written
+by segment, so each of the rounds (16 bits a row by filter_bits) reads its own rows, and all rounds each row twice; a cluster with more memory for broadcasts sets filter_bits
 higher and has fewer. A digest with many copies is summed per task before the shuffle; groups of at least a thousandth
 of all rows (a thousand of them at most) come back by a broadcast, so no task gets all copies of a text.
 
@@ -65,15 +65,25 @@ def probe(rows: DataFrame, repeated: DataFrame, hashes: int, words: int) -> Data
     return rows.withColumn("maybe", F.coalesce(F.col("twice").bitwiseAND(bits) == bits, F.lit(False))).drop("own_word", "word", "twice")
 
 
+def segmented(rows: DataFrame, segments: int) -> DataFrame:
+    """The rows, written in a folder per segment of their hashes h, so that a segment's passes read its rows only. More than
+    one segment meet by a shuffle of these numbers, dealt so that a segment is several tasks."""
+    rows = rows.withColumn("segment", segment_of(F.col("h"), segments).cast("int"))
+    at = shared_path(rows.sparkSession, "digests")
+    dealt = rows.repartition("segment", F.pmod("row_id", F.lit(8))) if segments > 1 else rows
+    dealt.write.partitionBy("segment").parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def sift(rows: DataFrame, n: int, hashes: int = HASHES, bits_per_row: int = BITS_PER_ROW, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The n rows, written with `maybe`, a segment of their hashes h at a time."""
     segments = max(1, -(-n * bits_per_row // filter_bits))
     words = 1 << max(4, (-(-n * bits_per_row // segments // 64) - 1).bit_length())
-    at = shared_path(rows.sparkSession, "sifted")
+    rows, at = segmented(rows, segments), shared_path(rows.sparkSession, "sifted")
     for k in range(segments):
-        own = rows.where(segment_of(F.col("h"), segments) == k)
+        own = rows.where(F.col("segment") == k).drop("segment")
         probe(own, repeated_bits(own, hashes, words), hashes, words).drop("h").write.mode("append").partitionBy("maybe").parquet(at)
-    schema = ", ".join(f"{c} {t}" for c, t in rows.drop("h").dtypes)
+    schema = ", ".join(f"{c} {t}" for c, t in rows.drop("h", "segment").dtypes)
     return rows.sparkSession.read.schema(f"{schema}, maybe boolean").parquet(at)
 
 
@@ -81,9 +91,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 and row_id (the row's number in the run)."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("length"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_id"))
-    rows = written(rows.withColumn("h", F.xxhash64("digest")), "digests")
-    n = rows.count()
-    seen = sift(rows, n, **options)
+    n = docs.count()
+    seen = sift(rows.withColumn("h", F.xxhash64("digest")), n, **options)
 
     def told(df: DataFrame) -> DataFrame:
         return df.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row_id")

@@ -2,7 +2,8 @@
 
 The words of a source are a stream of its documents, dealt by a hash of id and text into shards (65,536 and one per
 source at most, whatever the size; rows that share an id or have none are spread) and cut into blocks of equal numbers
-of words. Blocks are seats: highest quotients give
+of words, a 131,072nd of all words or, for small sources, a 128th of the source's target (16 words at least), so that each
+comes within a hundredth of its target or 32 words of it, however many sources there are. Blocks are seats: highest quotients give
 each source its quota, and again each shard of the source its own. In a shard, the blocks with the smallest seeded
 hashes are taken once more than the others. The driver sees sources and shards; documents and blocks stay
 distributed, and a source with a third of all rows is many shards. The tables of sources and of shards are broadcast up
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, shared_path, text_of, words_in
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
-BLOCKS, LEAST_BLOCK, SHARD_WORDS, SHARDS, SENT = 1 << 17, 32, 1 << 18, 1 << 16, 200_000
+BLOCKS, FINE, LEAST_BLOCK, SHARD_WORDS, SHARDS, SENT = 1 << 17, 128, 16, 1 << 18, 1 << 16, 200_000
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, most: int = MOST) -> list[float]:
@@ -76,7 +77,8 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fractio
     sizes = [int(x[1] or 0) for x in sources]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
     total = sum(sizes)
-    block, per_shard = max(LEAST_BLOCK, total // BLOCKS), max(shard_words, total // SHARDS)
+    per_shard = max(shard_words, total // SHARDS)
+    block = np.array([max(LEAST_BLOCK, min(total // BLOCKS, int(g) // FINE)) for g in goal], np.int64)
     side = lambda df, n: F.broadcast(df) if n <= sent else df
     table = pa.table({"s_source": pa.array([x[0] for x in sources], pa.string()), "no": pa.array(range(len(sources)), pa.int32()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(goal, pa.float64()), "n_shards": pa.array([-(-s // per_shard) or 1 for s in sizes], pa.int64())})
     rows = rows.join(side(spark.createDataFrame(table), len(sources)), F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
@@ -85,14 +87,14 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fractio
     shards = rows.groupBy("no", "shard").agg(F.sum("size").alias("words")).where("words > 0").collect()
     shards.sort(key=lambda r: (r.no, r.shard))
     no, words = np.array([r.no for r in shards], np.int64), np.array([r.words for r in shards], np.int64)
-    blocks = np.maximum(1, np.rint(words / block).astype(np.int64))
+    blocks = np.maximum(1, np.rint(words / block[no]).astype(np.int64))
     of_source = np.bincount(no, blocks, len(sources)).astype(np.int64)
     votes = np.array([g * n / s if s else 0.0 for g, s, n in zip(goal, sizes, of_source, strict=True)])
     quota = apportion(votes, int(np.rint(votes.sum())), most * of_source)
-    quotas = np.zeros(len(shards), np.int64)
-    for i, at in enumerate(map(slice, *np.searchsorted(no, [range(len(sources)), range(1, len(sources) + 1)]))):
-        if at.start < at.stop:
-            quotas[at] = apportion(blocks[at], int(quota[i]), most * blocks[at])
+    quotas = np.minimum(quota[no], most * blocks)
+    for i in np.flatnonzero(np.bincount(no, minlength=len(sources)) > 1).tolist():
+        at = slice(*np.searchsorted(no, [i, i + 1]))
+        quotas[at] = apportion(blocks[at], int(quota[i]), most * blocks[at])
 
     plan = spark.createDataFrame(pa.table({"b_no": pa.array(no, pa.int32()), "b_shard": pa.array([r.shard for r in shards], pa.int64()), "words": words, "blocks": blocks, "quota": quotas}))
     each = plan.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

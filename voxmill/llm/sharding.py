@@ -129,9 +129,13 @@ def pack_shards(docs: DataFrame, n_shards: int = 8, units: int = UNITS, cells: i
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc_id", **options) -> None:
-    """Writes the rows of docs as one folder per shard (`shard=0`, ...) with their slots; ids must be unique."""
-    put = pack_shards(docs, n_shards, id_col=id_col, **options).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    docs.join(put, docs[id_col].eqNullSafe(put["_id"])).drop("_id").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Writes the rows of docs as one folder per shard (`shard=0`, ...) with their slots; ids must be unique. Columns of docs
+    that are named shard or slot become row_shard and row_slot."""
+    put = pack_shards(docs, n_shards, id_col=id_col, **options).select(F.col("doc_id").alias("put_id"), F.struct("shard", "slot").alias("put"))
+    rows = docs.select(F.struct("*").alias("row"))
+    both = rows.join(put, F.col("row").getField(id_col).eqNullSafe(F.col("put_id")))
+    own = [F.col("row").getField(c).alias(f"row_{c}" if c in ("shard", "slot") else c) for c in docs.columns]
+    both.select(*own, "put.shard", "put.slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
