@@ -45,7 +45,7 @@ def test_preprocess_to_synthesis(spark, inbox, tmp_path):
     by_job = {r.job_id: r for r in results.collect()}
     assert {k: r.status for k, r in by_job.items()} == {"j1": "done", "j2": "done", "j3": "failed", "j4": "failed", "j5": "failed"}
     metrics = by_job["j1"].metrics
-    assert metrics.pop("latency_seconds") > 0 and metrics == {"sample_rate": 16000.0, "channels": 1.0, "num_segments": 2.0}
+    assert metrics.pop("latency_ms") > 0 and metrics == {"sample_rate": 16000.0, "channels": 1.0, "num_segments": 2.0}
     rows = sorted((r.job_id, r.chunk_id, r.chunk_path, round(r.start_ts, 2), round(r.end_ts, 2)) for r in chunks.collect())
     assert rows == [("j1", 0, "chunk_0000.wav", 0.0, 2.0), ("j1", 1, "chunk_0001.wav", 3.5, 6.0), ("j2", 0, "chunk_0000.wav", 0.0, 3.0)]
     x, rate = media.read_pcm(chunks.where("job_id = 'j1' and chunk_id = 1").first().content)
@@ -72,7 +72,7 @@ def test_preprocess_to_synthesis(spark, inbox, tmp_path):
     loaded = {r.job_id: r for r in bundles.load_bundles(spark, out, audio=True).collect()}
     assert len(loaded["j1"].segments) == 4 and loaded["j2"].output_sample_rate == 24000 and bytes(loaded["j2"].reference_audio) == b"v2"
     ran = {r.job_id: r for r in B.run_bundles(spark, out, B.ToneSynthesiser()).collect()}
-    assert {r.status for r in ran.values()} == {"done"} and ran["j1"].metrics["num_segments"] == 4 and ran["j1"].metrics["latency_seconds"] > 0
+    assert {r.status for r in ran.values()} == {"done"} and ran["j1"].metrics["num_segments"] == 4 and ran["j1"].metrics["latency_ms"] > 0
     with open(f"{out}/j1/output/chunk_0000_seg_000000.wav", "rb") as f:
         assert media.read_pcm(f.read())[1] == 24000
     back = bundles.read_results(spark, f"{out}/*/output/synthesis_result.json")
@@ -265,3 +265,42 @@ def test_queries_equal_sql(spark, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+class PickyRecogniser(B.StubRecogniser):
+    def transcribe(self, audio):
+        if len(audio) > 40_000:
+            raise ValueError("too long")
+        return super().transcribe(audio)
+
+
+class PickySynthesiser(B.ToneSynthesiser):
+    def speaker(self, reference):
+        if reference == b"broken":
+            raise OSError("no voice")
+        return super().speaker(reference)
+
+
+def test_failures_stay_with_their_jobs(spark, inbox, tmp_path):
+    """A bad chunk, a bad voice and a bad file: each fails its own job; a finished stage's manifest is there."""
+    at = str(tmp_path / "artifacts")
+    chunks, results = P.Preprocess().run(media.list_files(spark, inbox), artifacts=at)
+    done = {r.job_id: r for r in results.collect()}
+    assert {k: r.output_path for k, r in done.items()} == {"j1": f"{at}/j1/manifest.json", "j2": f"{at}/j2/manifest.json", "j4": None}
+    assert [e["chunk_path"] for e in json.load(open(done["j1"].output_path))] == ["chunk_0000.wav", "chunk_0001.wav"]
+    assert sorted(os.listdir(f"{at}/j1/chunks")) == ["chunk_0000.wav", "chunk_0001.wav"]
+
+    limit = chunks.groupBy().agg(F.max(F.octet_length("content"))).first()[0]
+    assert limit > 40_000
+    heard = B.recognise(chunks, PickyRecogniser())
+    status = {r.job_id: (r.status, r.error, r.metrics["failed_chunks"]) for r in B.recognition_results(heard).collect()}
+    bad = {r.job_id for r in chunks.where(F.octet_length("content") > 40_000).select("job_id").collect()}
+    assert {j for j, s in status.items() if s[0] == "failed"} == bad and all(status[j][1] == "ValueError: too long" for j in bad)
+    assert {r.job_id for r in R.assemble(heard).select("job_id").collect()} == {r.job_id for r in chunks.where(F.octet_length("content") <= 40_000).collect()}
+
+    segment = "array<struct<segment_id:bigint,chunk_id:bigint,start_ts:double,end_ts:double,text:string,reference_audio:string>>"
+    requests = spark.createDataFrame([(j, "hi", 24000, [(0, 0, 0.0, 1.0, "x", "r"), (1, 0, 1.0, 2.0, "y", "r")]) for j in ("a", "b")], f"job_id string, language string, output_sample_rate bigint, segments {segment}")
+    voices = spark.createDataFrame([("a", bytearray(b"broken")), ("b", bytearray(b"fine"))], "job_id string, content binary")
+    made = B.synthesise(requests, voices, PickySynthesiser())
+    by_job = {r.job_id: (r.status, r.error, r.metrics["failed_segments"]) for r in B.stage_results_of(made).collect()}
+    assert by_job == {"a": ("failed", "OSError: no voice", 2.0), "b": ("done", None, 0.0)}

@@ -14,7 +14,7 @@ JOB = f"job_id string, source_lang string, target_lang string, stages map<string
 AUDIO_CHUNK = "chunk_id bigint, chunk_path string, start_ts double, end_ts double, duration double, status string, speaker string, language string"
 MANIFEST_ENTRY = "chunk_path string, start_ts double, end_ts double"
 ASR_SEGMENT = "struct<start:double,end:double,text:string,avg_logprob:double,no_speech_prob:double,compression_ratio:double>"
-ASR_OUTPUT = f"job_id string, chunk_id bigint, chunk_start double, language string, language_probability double, segments array<{ASR_SEGMENT}>"
+ASR_OUTPUT = f"job_id string, chunk_id bigint, chunk_start double, language string, language_probability double, segments array<{ASR_SEGMENT}>, error string"
 TRANSCRIPT_SEGMENT = "job_id string, segment_id bigint, chunk_id bigint, start_ts double, end_ts double, text string, avg_logprob double, no_speech_prob double, compression_ratio double"
 TRANSLATED_SEGMENT = "job_id string, segment_id bigint, chunk_id bigint, start_ts double, end_ts double, source_text string, translated_text string, source_language string, target_language string"
 SYNTHESIS_REQUEST = "job_id string, language string, output_sample_rate bigint, segments array<struct<segment_id:bigint,chunk_id:bigint,start_ts:double,end_ts:double,text:string,reference_audio:string>>"

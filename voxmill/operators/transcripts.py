@@ -21,8 +21,9 @@ def assemble(recognised: DataFrame) -> DataFrame:
 
 
 def job_languages(chunks: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """Language and probability of each job's first chunk; "unknown" and 0.0 where there is none."""
-    first = chunks.groupBy("job_id").agg(F.min_by(F.struct("language", "language_probability"), "chunk_id").alias("f"))
+    """Language and probability of each job's first chunk that could be heard; "unknown" and 0.0 where there is none."""
+    heard = F.col("error").isNull() if "error" in chunks.columns else F.lit(True)
+    first = chunks.groupBy("job_id").agg(F.min_by(F.struct("language", "language_probability"), F.when(heard, F.col("chunk_id"))).alias("f"))
     out = first if jobs is None else jobs.select("job_id").distinct().join(first, "job_id", "left")
     return out.select("job_id", F.coalesce("f.language", F.lit("unknown")).alias("language"), F.coalesce("f.language_probability", F.lit(0.0)).alias("language_probability"))
 

@@ -103,17 +103,33 @@ class WhisperRecogniser:
 
 
 def recognise(chunks: DataFrame, backend: InferenceBackend) -> DataFrame:
-    """From job_id, chunk_id, start_ts, content: what the backend hears in each chunk."""
+    """From job_id, chunk_id, start_ts, content: what the backend hears in each chunk; a chunk that it can't read is a row
+    with its error and without segments."""
     segment = pa.struct([(n, pa.string() if t == "string" else pa.float64()) for n, t in (x.split(":") for x in ASR_SEGMENT[len("struct<") : -1].split(","))])
+    kinds = pa.schema([("job_id", pa.string()), ("chunk_id", pa.int64()), ("chunk_start", pa.float64()), ("language", pa.string()), ("language_probability", pa.float64()), ("segments", pa.list_(segment)), ("error", pa.string())])
+
+    def heard(own: InferenceBackend, audio: bytes) -> dict:
+        try:
+            segments, (language, probability) = own.transcribe(audio)
+            return {"language": language, "language_probability": probability, "segments": segments, "error": None}
+        except Exception as e:  # this chunk's failure, not the others'
+            return {"segments": [], "error": f"{type(e).__name__}: {e}"}
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(backend)
         for b in batches:
-            for r in b.to_pylist():
-                found, (language, probability) = own.transcribe(r["content"])
-                yield pa.RecordBatch.from_arrays([pa.array([r["job_id"]], pa.string()), pa.array([r["chunk_id"]], pa.int64()), pa.array([r["start_ts"]], pa.float64()), pa.array([language], pa.string()), pa.array([probability], pa.float64()), pa.array([found], pa.list_(segment))], names=["job_id", "chunk_id", "chunk_start", "language", "language_probability", "segments"])
+            keys = b.select(["job_id", "chunk_id", "start_ts"]).rename_columns(["job_id", "chunk_id", "chunk_start"]).to_pylist()
+            yield pa.RecordBatch.from_pylist([k | heard(own, c.as_py()) for k, c in zip(keys, b.column("content"), strict=True)], schema=kinds)
+
+    return chunks.select(F.col("job_id").cast("string"), F.col("chunk_id").cast("long"), F.col("start_ts").cast("double"), "content").mapInArrow(go, ASR_OUTPUT)
+
 
-    return chunks.select("job_id", "chunk_id", "start_ts", "content").mapInArrow(go, ASR_OUTPUT)
+def recognition_results(heard: DataFrame) -> DataFrame:
+    """A stage result per job: failed where a chunk is, with counts."""
+    totals = heard.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad"), F.min("error").alias("why"))
+    metrics = F.create_map(F.lit("num_chunks"), F.col("n").cast("double"), F.lit("failed_chunks"), F.col("bad").cast("double"))
+    done = totals.where("bad = 0").select("job_id", *stage_result("asr", "done", metrics=metrics))
+    return done.unionByName(totals.where("bad > 0").select("job_id", *stage_result("asr", "failed", metrics=metrics, error=F.col("why"))))
 
 
 class TranslationBackend:
@@ -226,10 +242,19 @@ class VoiceCloner:
 SPOKEN = "job_id string, segment_id long, chunk_id long, audio_path string, duration double, content binary, error string, seconds double"
 
 
+def voice_of(backend: Synthesiser, reference: bytes) -> tuple[object, Exception | None]:
+    """The speaker of a voice sample, or why there is none."""
+    try:
+        return backend.speaker(reference), None
+    except Exception as e:  # this job's failure, not the others'
+        return None, e
+
+
 def synthesise(requests: DataFrame, references: DataFrame, backend: Synthesiser, at_once: int = 64) -> DataFrame:
     """A row per requested segment: job_id, segment_id, chunk_id, audio_path, duration, content, error, seconds. Names hold
     chunk and segment, so segments of a chunk don't overwrite each other. A job's segments go in groups of `at_once`, each
-    with the job's voice, which is worked out once per group; a segment that fails is a row with its error."""
+    with the job's voice, which is worked out once per group; a segment that fails is a row with its error, and so are all
+    segments of a job whose voice can't be read."""
     groups = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("segments") / at_once).cast("int") - 1, F.lit(0)))
     rows = requests.select("job_id", "language", F.col("output_sample_rate").alias("rate"), "segments", F.explode(groups).alias("k"))
     rows = rows.select("job_id", "language", "rate", "k", F.slice("segments", F.col("k") * at_once + 1, F.lit(at_once)).alias("segments"))
@@ -242,11 +267,13 @@ def synthesise(requests: DataFrame, references: DataFrame, backend: Synthesiser,
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                speaker = own.speaker(r["voice"])
+                speaker, broken = voice_of(own, r["voice"])
                 for x in r["segments"] or []:
                     began = time.perf_counter()
                     row = {"job_id": r["job_id"], "segment_id": x["segment_id"], "chunk_id": x["chunk_id"], "audio_path": f"output/chunk_{x['chunk_id']:04d}_seg_{x['segment_id']:06d}.wav"}
                     try:
+                        if broken:
+                            raise broken
                         made = own.synthesise(x["text"], speaker, r["language"])
                         row |= {"duration": len(made) / r["rate"], "content": wav_bytes(made, r["rate"])}
                     except Exception as e:  # this segment's failure, not the job's others'
@@ -266,7 +293,7 @@ def results_of(synthesised: DataFrame, sample_rate: int = 24000) -> DataFrame:
 def stage_results_of(synthesised: DataFrame) -> DataFrame:
     """A stage result per job: failed where a segment is, with counts and the time taken."""
     totals = synthesised.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad"), F.min("error").alias("why"), F.sum("seconds").alias("seconds"))
-    metrics = F.create_map(F.lit("num_segments"), F.col("n").cast("double"), F.lit("failed_segments"), F.col("bad").cast("double"), F.lit("latency_seconds"), F.col("seconds"))
+    metrics = F.create_map(F.lit("num_segments"), F.col("n").cast("double"), F.lit("failed_segments"), F.col("bad").cast("double"), F.lit("latency_ms"), F.col("seconds") * 1000)
     path = F.concat("job_id", F.lit("/output/synthesis_result.json"))
     done = totals.where("bad = 0").select("job_id", *stage_result("tts", "done", output=path, metrics=metrics))
     return done.unionByName(totals.where("bad > 0").select("job_id", *stage_result("tts", "failed", metrics=metrics, error=F.col("why"))))

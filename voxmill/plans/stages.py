@@ -11,8 +11,11 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import chunk_name
 from ..operators.segments import segments_or_windows
 from ..operators.validation import INVALID, is_valid_media, stage_result
+from ..sources.bundles import manifest_documents
+from ..sources.filesink import write_files
 from ..sources.media import cut_chunks, prepare_audio, probe, probe_wav, read_pcm
 from ..sources.shared import written_once
 
@@ -69,22 +72,28 @@ class Preprocess:
         probed = probe(jobs, self.prober)
         return probed.withColumn("valid", is_valid_media(F.col("size"), F.col("streams"), F.col("duration")))
 
-    def run(self, jobs: DataFrame, config: Config | None = None, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def run(self, jobs: DataFrame, config: Config | None = None, expected: DataFrame | None = None, artifacts: str = "") -> tuple[DataFrame, DataFrame]:
         """Chunks with their audio, and a stage result per job with its latency. Refused jobs and those whose audio can't be
         read fail, the others go on; each file is probed and converted once. expected: job_id of all jobs, so that those
-        without a file (or with an empty one, which Spark doesn't list) fail, too."""
+        without a file (or with an empty one, which Spark doesn't list) fail, too. artifacts: a folder of any store for the
+        chunks and each job's manifest, all written or none, which the results then name."""
         config = config or Config()
         jobs = jobs if expected is None else expected.select("job_id").distinct().join(jobs, "job_id", "left")
         rate = config.audio_sample_rate
         made = written_once(prepare_audio(jobs, rate, config.audio_channels, self.prober, self.decoder), "prepared")
         valid = is_valid_media(F.col("size"), F.col("streams"), F.col("duration"))
         cuts = made.where(valid & F.col("error").isNull()).withColumn("segments", segments_or_windows(F.col("silences"), F.col("total_duration")))
-        measures = {"sample_rate": F.lit(float(rate)), "channels": F.lit(float(config.audio_channels)), "num_segments": F.size("segments").cast("double"), "latency_seconds": F.col("seconds")}
+        measures = {"sample_rate": F.lit(float(rate)), "channels": F.lit(float(config.audio_channels)), "num_segments": F.size("segments").cast("double"), "latency_ms": F.col("seconds") * 1000}
         measures = F.create_map(*(x for k, v in measures.items() for x in (F.lit(k), v)))
-        done = cuts.select("job_id", *stage_result("preprocess", "done", output=F.concat(F.lit("artifacts/"), "job_id", F.lit("/manifest.json")), metrics=measures))
-        latency = F.create_map(F.lit("latency_seconds"), F.col("seconds"))
+        done = cuts.select("job_id", *stage_result("preprocess", "done", output=F.concat(F.lit(f"{artifacts}/"), "job_id", F.lit("/manifest.json")) if artifacts else None, metrics=measures))
+        latency = F.create_map(F.lit("latency_ms"), F.col("seconds") * 1000)
         failed = made.where(~valid | F.col("error").isNotNull()).select("job_id", *stage_result("preprocess", "failed", metrics=latency, error=F.when(valid, F.col("error")).otherwise(INVALID)))
-        return cut_chunks(cuts), done.unionByName(failed)
+        chunks = cut_chunks(cuts)
+        if artifacts:
+            manifests = manifest_documents(cuts.select("job_id", F.posexplode("segments").alias("chunk_id", "s")).select("job_id", "chunk_id", chunk_name(F.col("chunk_id")).alias("chunk_path"), F.col("s.start").alias("start_ts"), F.col("s.end").alias("end_ts")))
+            documents = manifests.select("job_id", F.lit("manifest.json").alias("path"), F.col("json").cast("binary").alias("content"))
+            write_files(documents.unionByName(chunks.select("job_id", F.concat(F.lit("chunks/"), "chunk_path").alias("path"), "content")), artifacts)
+        return chunks, done.unionByName(failed)
 
 
 def latest_attempt(results: DataFrame) -> DataFrame:
