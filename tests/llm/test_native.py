@@ -24,7 +24,7 @@ def sha(text):
 def test_equal_to_sql(spark, name):
     got = Q.QUERIES[name](spark, DATA)
     c = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = c.execute(Q.SQL[name]).df()
     names = sorted(got.columns)

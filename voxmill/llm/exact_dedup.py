@@ -70,7 +70,7 @@ def segmented(rows: DataFrame, segments: int) -> DataFrame:
     one segment meet by a shuffle of these numbers, dealt so that a segment is several tasks."""
     rows = rows.withColumn("segment", segment_of(F.col("h"), segments).cast("int"))
     at = shared_path(rows.sparkSession, "digests")
-    dealt = rows.repartition("segment", F.pmod("row_id", F.lit(8))) if segments > 1 else rows
+    dealt = rows.repartition("segment", F.pmod(F.spark_partition_id(), F.lit(8))) if segments > 1 else rows
     dealt.write.partitionBy("segment").parquet(at)
     return rows.sparkSession.read.schema(rows.schema).parquet(at)
 
