@@ -23,6 +23,7 @@ from ..sources.media import read_pcm, wav_bytes
 from ..sources.shared import work_folder
 from ..streaming import attempts as A
 from . import backends as B
+from . import chain as C
 from . import stages as P
 
 QUERIES: dict = {}
@@ -456,6 +457,33 @@ def pending_jobs(spark, sf_dir):
     return B.submitted(requests(spark, sf_dir, 24000)).select("job_id", "stage_name", "status", "attempt")
 
 
+@query(f"""
+WITH {SQL_TRANSCRIPT},
+j AS (SELECT job_id, sha256(string_agg('[hi] ' || text, chr(10) ORDER BY segment_id)) AS texts_sha256 FROM tr GROUP BY job_id)
+SELECT job_id, 'transcript' AS stage_name, 'done' AS status, 1 AS attempt, 1 AS executions, NULL AS texts_sha256 FROM j
+UNION ALL SELECT job_id, 'translation', CASE WHEN job_id % 11 = 0 THEN 'failed' ELSE 'done' END, CASE WHEN job_id % 11 = 0 THEN 3 WHEN job_id % 7 = 0 THEN 2 ELSE 1 END, CASE WHEN job_id % 11 = 0 THEN 3 WHEN job_id % 7 = 0 THEN 2 ELSE 1 END, NULL FROM j
+UNION ALL SELECT job_id, 'request', 'done', 1, 2, texts_sha256 FROM j WHERE job_id % 11 <> 0""")
+def resumed_chain(spark, sf_dir):
+    """A chain of steps that is run four times: some jobs fail once (by 7), some always (by 11: three attempts), then the
+    last step's settings change. Executions are what the logs hold of a job and step, over all runs."""
+    root = work_folder(spark, "chain")
+
+    def steps(failing: int, rate: int) -> list[C.Step]:
+        line = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i * 1.5).alias("start"), (i * 1.5 + 1).alias("end"), x.alias("text")))
+        heard = lambda rows: R.assemble(rows.select("job_id", "chunk_id", (F.col("chunk_id") * 30.0).alias("chunk_start"), line.alias("segments")))
+        bad = F.when((F.col("job_id") % 11 == 0) | (F.col("job_id") % failing == 0), F.lit("no backend"))
+        said = lambda rows: rows.select("job_id", "segment_id", "chunk_id", "start_ts", "end_ts", F.concat(F.lit("[hi] "), "text").alias("translated_text"), F.lit("hi").alias("target_language"), bad.alias("error"))
+        return [C.Step("transcript", heard), C.Step("translation", said, "hi"), C.Step("request", lambda rows: R.synthesis_requests(rows, "voices/reference.wav", rate), str(rate))]
+
+    for failing, rate in ((7, 24000), (11, 24000), (11, 24000), (11, 16000)):
+        run = C.run_chain(turns(spark, sf_dir), steps(failing, rate), root)
+    logs = C.step_log(spark, root, "transcript", "long").unionByName(C.step_log(spark, root, "translation", "long")).unionByName(C.step_log(spark, root, "request", "long"))
+    executions = logs.groupBy("job_id", "stage_name").agg(F.count(F.lit(1)).cast("int").alias("executions"))
+    texts = C.chain_rows(spark, run, "request").select("job_id", F.lit("request").alias("stage_name"), F.sha2(F.array_join(F.transform("segments", lambda s: s.text), "\n"), 256).alias("texts_sha256"))
+    out = C.chain_results(spark, run).select("job_id", "stage_name", "status", "attempt")
+    return out.join(executions, ["job_id", "stage_name"]).join(texts, ["job_id", "stage_name"], "left")
+
+
 def stored_bundles(spark: SparkSession, sf_dir: str, rate: int = 200, zipped: bool = False) -> str:
     """Bundles of all jobs in a folder of the shared store."""
     root = work_folder(spark, "bundles")
