@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.schemas import SYNTHESIS_REQUEST, parsed
+from ..operators import intervals as I
 from ..operators import metrics as M
 from ..operators import overlaps as O
 from ..operators import segments as S
@@ -534,6 +535,36 @@ def result_files(spark, sf_dir):
     return back.select("job_id", "sample_rate", "s.segment_id", "s.chunk_id", "s.audio_path", F.round("s.duration", 6).alias("duration"))
 
 
+# -- intervals ----------------------------------------------------------------------------------------------------
+
+@query(f"""
+WITH e AS ({SQL_EVENTS}), t AS (SELECT event_id, event_type AS kind, s, e FROM e JOIN events USING (event_id)),
+n AS (SELECT kind, max(e) AS total FROM t GROUP BY kind),
+w AS (SELECT kind, k AS window_id, k * 21000.0 AS s, k * 21000.0 + 21600 AS e FROM (SELECT kind, unnest(range((total // 21000)::BIGINT + 1)) AS k FROM n) UNION ALL SELECT kind, -1, -1e9, 1e9 FROM n)
+SELECT event_id, window_id FROM t JOIN w ON t.kind = w.kind AND t.s < w.e AND w.s < t.e""")
+def overlapping_windows(spark, sf_dir):
+    """Events as intervals against overlapping windows of six hours, and one that spans everything, of their type."""
+    own = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.expr(START).alias("s"), (F.expr(START) + F.col("value")).alias("e"))
+    total = own.groupBy("kind").agg(F.max("e").alias("total"))
+    row = lambda k, s, e: F.struct(k.cast("long").alias("window_id"), s.cast("double").alias("s"), e.cast("double").alias("e"))
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.col("total") / 21000)), lambda k: row(k, k * 21000, k * 21000 + 21600))
+    windows = total.select("kind", F.inline(F.array_append(each, row(F.lit(-1), F.lit(-1e9), F.lit(1e9)))))
+    return I.overlap_join(own, windows, ["kind"], ("s", "e"), ("s", "e")).select("left.event_id", "right.window_id")
+
+
+@query(f"""
+WITH {SQL_TRANSCRIPT},
+c AS (SELECT conv_id AS job_id, turn AS chunk_id, turn * 22.0 AS s, turn * 22.0 + 25 AS e, min(role) AS speaker FROM conversations GROUP BY conv_id, turn),
+p AS (SELECT tr.job_id, segment_id, c.chunk_id, speaker, row_number() OVER (PARTITION BY tr.job_id, segment_id ORDER BY least(end_ts, e) - greatest(start_ts, s) DESC, s, c.chunk_id) AS r
+  FROM tr JOIN c ON c.job_id = tr.job_id AND start_ts < e AND s < end_ts)
+SELECT tr.job_id, tr.segment_id, speaker FROM tr LEFT JOIN p ON p.job_id = tr.job_id AND p.segment_id = tr.segment_id AND r = 1""")
+def labelled_segments(spark, sf_dir):
+    """Speakers of chunks onto the segments they overlap longest."""
+    chunks = turns(spark, sf_dir).groupBy("job_id", "chunk_id").agg(F.min("role").alias("speaker"))
+    chunks = chunks.select("job_id", "chunk_id", (F.col("chunk_id") * 22.0).alias("start_ts"), (F.col("chunk_id") * 22.0 + 25).alias("end_ts"), "speaker")
+    return I.labelled(transcript(spark, sf_dir), chunks, ("speaker",)).select("job_id", "segment_id", "speaker")
+
+
 # -- metrics ------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {SQL_TRANSCRIPT} SELECT job_id, sha256(string_agg({sql_strip('text')}, ' ' ORDER BY segment_id)) AS hypothesis_sha256 FROM tr GROUP BY job_id")
