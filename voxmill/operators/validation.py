@@ -29,7 +29,7 @@ def split_valid(probes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return probes.where(ok), refused
 
 
-def stage_result(stage: str, status: str, output: Column | None = None, metrics: Column | None = None, error: Column | None = None, attempt: Column | int = 1) -> list[Column]:
+def stage_result(stage: str, status: Column | str, output: Column | None = None, metrics: Column | None = None, error: Column | None = None, attempt: Column | int = 1) -> list[Column]:
     """Columns of a stage result."""
     none = F.lit(None)
     return [

@@ -102,8 +102,9 @@ def executed(step: Step, rows: DataFrame, todo: DataFrame, root: str) -> None:
     totals = made.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.min(error).alias("why"))
     ended = todo.join(totals, "job_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
     metrics, attempt = F.create_map(F.lit("num_rows"), F.col("n")), F.col("failures") + 1
-    result = lambda status, **more: ended.where(F.col("why").isNull() == (status == "done")).select("job_id", "key", *stage_result(step.name, status, metrics=metrics, attempt=attempt, **more))
-    log = result("done", output=F.lit(path)).unionByName(result("failed", error=F.col("why")))
+    done = F.col("why").isNull()
+    result = stage_result(step.name, F.when(done, "done").otherwise("failed"), output=F.when(done, path), metrics=metrics, error=F.col("why"), attempt=attempt)
+    log = ended.select("job_id", "key", *result)
     log.write.parquet(f"{root}/log/{step.name}/{EXECUTION}={execution}")
 
 
