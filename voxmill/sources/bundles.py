@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.schemas import BUNDLE_MANIFEST, MANIFEST_ENTRY, SYNTHESIS_REQUEST, SYNTHESIS_RESULT, parsed
 from ..operators.validation import missing_files, version_checked
+from .listing import found_files, known
 from .media import list_files
 from .zips import read_zips
 
@@ -26,7 +27,11 @@ def as_json(value: Column, pretty: bool = True) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON files: job_id (the parent folder) and json."""
+    """Whole JSON files: job_id (the parent folder) and json. Tasks list and read them, where they can (see listing)."""
+    if known(path):
+        if found_files(spark, path, content=False).isEmpty():
+            raise FileNotFoundError(f"Path does not exist: {path}")
+        return found_files(spark, path).select(F.element_at(F.split("path", "/"), -2).alias("job_id"), F.col("content").cast("string").alias("json"))
     rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("path"))
     return rows.select(F.element_at(F.split("path", "/"), -2).alias("job_id"), "json")
 
