@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.schemas import ASR_OUTPUT, ASR_SEGMENT
 from ..operators.validation import stage_result
 from ..sources.bundles import load_bundles, read_results, request_documents, result_documents
-from ..sources.filesink import write_files
+from ..sources.filesink import drop_staged, place_files, stage_files, write_files
 from ..sources.media import probe_wav, wav_bytes
 from ..sources.shared import written_once
 
@@ -286,7 +286,7 @@ def synthesise(requests: DataFrame, references: DataFrame, backend: Synthesiser,
 def results_of(synthesised: DataFrame, sample_rate: int = 24000) -> DataFrame:
     """Synthesis results, one row per job, of the segments that could be synthesised."""
     segment = F.struct("segment_id", "chunk_id", "audio_path", "duration")
-    done = F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), segment)))
+    done = F.array_sort(F.collect_list(F.when(F.col("error").isNull(), segment)))
     return synthesised.groupBy("job_id").agg(done.alias("segments")).select("job_id", F.lit(sample_rate).cast("long").alias("sample_rate"), "segments")
 
 
@@ -301,13 +301,19 @@ def stage_results_of(synthesised: DataFrame) -> DataFrame:
 
 def run_bundles(spark: SparkSession, root: str, backend: Synthesiser) -> DataFrame:
     """The worker: loads and checks the bundles below root, synthesises their segments, writes the audio and a result
-    document into each bundle's output folder, and returns a stage result per job."""
-    bundles = load_bundles(spark, root, audio=True)
-    made = written_once(synthesise(bundles, bundles.select("job_id", F.col("reference_audio").alias("content")), backend), "synthesised")
-    rate = bundles.select("job_id", F.col("output_sample_rate").alias("rate"))
-    results = results_of(made).join(rate, "job_id").withColumn("sample_rate", F.col("rate"))
-    documents = result_documents(results).select("job_id", F.lit("output/synthesis_result.json").alias("path"), F.col("json").cast("binary").alias("content"))
-    write_files(made.where("content is not null").select("job_id", F.col("audio_path").alias("path"), "content").unionByName(documents), root)
+    document into each bundle's output folder, and returns a stage result per job. Audio is written once, where it belongs."""
+    bundles = written_once(load_bundles(spark, root, audio=True), "bundles")
+    spoken = synthesise(bundles, bundles.select("job_id", F.col("reference_audio").alias("content")), backend)
+    audio = stage_files(spoken.withColumn("path", F.when(F.col("content").isNotNull(), F.col("audio_path"))), root)
+    try:
+        made = audio.rows()
+        rate = bundles.select("job_id", F.col("output_sample_rate").alias("rate"))
+        results = results_of(made).join(rate, "job_id").withColumn("sample_rate", F.col("rate"))
+        documents = stage_files(result_documents(results).select("job_id", F.lit("output/synthesis_result.json").alias("path"), F.col("json").cast("binary").alias("content")), root)
+    except BaseException:
+        drop_staged(audio)
+        raise
+    place_files(audio, documents)
     return stage_results_of(made)
 
 
