@@ -102,10 +102,15 @@ def folder_files(spark: SparkSession, root: str) -> tuple[DataFrame, Callable[[s
     name = [F.when(inside, F.get(parts, F.size(parts) - 3)).otherwise(F.element_at(parts, -2)).alias("job_id"), F.when(inside, F.concat(F.lit("request/"), F.element_at(parts, -1))).otherwise(F.element_at(parts, -1)).alias("file")]
 
     def read(file: str) -> DataFrame:
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file.split("/")[-1]).load(root)
+        only = file.split("/")[-1]
+        if known(root):
+            rows = found_files(spark, f"{root.rstrip('/')}/*", deep=True, names=(only,))
+        else:
+            rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", only).load(root)
         return rows.select(*name, "content").where(F.col("file") == file).select("job_id", "content")
 
-    return list_files(spark, root).select("path").select(*name), read
+    there = found_files(spark, f"{root.rstrip('/')}/*", deep=True, content=False) if known(root) else list_files(spark, root)
+    return there.select("path").select(*name), read
 
 
 def zipped_files(spark: SparkSession, root: str) -> tuple[DataFrame, Callable[[str], DataFrame]]:
